@@ -1,3 +1,240 @@
-"""Queries by name."""
+"""Queries by name: each takes (spark, sf_dir) and covers its whole table."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import prng, quant, vec
+from ..operators import codecs, estimate, sketch, workloads
+from ..sources import tables
+from ..streaming import sketches
+
+D = 64
+#: Parameters of the sketches over users and parts.
+SKETCH = {"rows": 5, "cols": 97}
+
+
+def _bits(c: str = "msg.bits"):
+    return F.array_join(F.transform(c, lambda b: b.cast("string")), "").alias("bits")
+
+
+def _r(c, digits: int = 6):
+    """Rounded, with no negative zero."""
+    return (F.round(c, digits) + 0.0)
+
+
+def _rotated(spark: SparkSession, sf_dir: str, clients: int = 1) -> DataFrame:
+    return codecs.rotate(tables.vectors(spark, sf_dir, clients), "x", "y", D)
+
+
+def sign_encode(spark, sf_dir):
+    df = codecs.sign_encode(tables.vectors(spark, sf_dir), D)
+    return df.select("vec_id", _r("msg.scale").alias("scale"), _bits())
+
+
+def sign_nmse(spark, sf_dir):
+    return _rotated(spark, sf_dir).select("vec_id", _r(estimate.sign_nmse(F.col("y"))).alias("nmse"))
+
+
+def _round_trip(name: str):
+    def query(spark, sf_dir):
+        df = codecs.round_trip(tables.vectors(spark, sf_dir), name, D, row="vec_id")
+        return df.select("vec_id", _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"), _r(vec.total(F.col("xhat")), 4).alias("total"))
+
+    return query
+
+
+def mean_estimate(spark, sf_dir):
+    df = codecs.round_trip(tables.vectors(spark, sf_dir, 10), "sign", D)
+    return estimate.mean_estimate(df, ["label"]).select("label", "i", _r("mean").alias("mean"))
+
+
+def mean_of_ten_clients(spark, sf_dir):
+    """NMSE of the mean of ten clients' decodings of the same vector, by label."""
+    v = tables.vectors(spark, sf_dir).drop("client").withColumn("client", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    error = estimate.estimate_error(codecs.round_trip(v, "sign", D), ["vec_id", "label"])
+    return estimate.trials(error, ["label"]).select("label", _r("mean").alias("mean"), _r("std").alias("std"), "trials")
+
+
+def two_means_encode(spark, sf_dir):
+    df = codecs.two_means_encode(tables.vectors(spark, sf_dir), D)
+    return df.select("vec_id", _r("msg.c0").alias("c0"), _r("msg.c1").alias("c1"), "msg.n0", "msg.n1", _bits())
+
+
+def two_means_nmse(spark, sf_dir):
+    df = _rotated(spark, sf_dir).withColumn("m", quant.two_means(F.col("y")))
+    return df.select("vec_id", _r(estimate.two_means_nmse(F.col("y"), F.col("m"))).alias("nmse"))
+
+
+def two_means_converged(spark, sf_dir):
+    """Lloyd to convergence (64 steps are far beyond it at this length)."""
+    df = _rotated(spark, sf_dir).withColumn("m", quant.two_means(F.col("y"), 64))
+    return df.select("vec_id", "m.n0", "m.n1", _r("m.c0").alias("c0"), _r("m.c1").alias("c1"))
+
+
+def split_at_mean_encode(spark, sf_dir):
+    df = codecs.split_encode(tables.vectors(spark, sf_dir), D)
+    return df.select("vec_id", _r("msg.c0").alias("c0"), _r("msg.c1").alias("c1"), "msg.n0", "msg.n1")
+
+
+def _quantised(spark, sf_dir):
+    """(bits, normalisation, vec_id, nmse, levels) for 12 widths and two ranges, all from one rotation of each vector."""
+    df = _rotated(spark, sf_dir).withColumn("u", quant.uniforms(F.col("y"), F.concat_ws(".", F.col("client").cast("string"), F.col("vec_id").cast("string"))))
+    grid = []
+    for norm in ("minmax", "sqrt2norm"):
+        low, span = quant.quantiser_range(F.col("y"), norm)
+        df = df.withColumn(f"low_{norm}", low).withColumn(f"span_{norm}", span)
+        for b in range(1, 13):
+            grid.append(F.struct(F.lit(b).alias("bits"), F.lit(norm).alias("normalisation"), F.col(f"low_{norm}").alias("low"), F.col(f"span_{norm}").alias("span"),
+                                 quant.levels_from(F.col("y"), F.col("u"), F.col(f"low_{norm}"), F.col(f"span_{norm}"), b).alias("levels")))
+    rows = df.select("vec_id", "y", F.explode(F.array(*grid)).alias("q")).select("vec_id", "y", "q.*")
+    back = vec.let(lambda s: F.transform(s["levels"], lambda q: s["low"] + s["span"] * q / s["top"]), levels=F.col("levels"), low=F.col("low"), span=F.col("span"), top=F.pow(F.lit(2.0), F.col("bits")) - 1)
+    return rows.withColumn("nmse", estimate.nmse(F.col("y"), back))
+
+
+def entropy_nmse(spark, sf_dir):
+    return _quantised(spark, sf_dir).groupBy("bits", "normalisation").agg(_r(F.avg("nmse")).alias("nmse"))
+
+
+def entropy_bits(spark, sf_dir):
+    hist = quant.histogram(_quantised(spark, sf_dir), ["bits", "normalisation"], "levels")
+    return quant.entropy_bits(hist, ["bits", "normalisation"]).select("bits", "normalisation", "n_symbols", _r("entropy").alias("entropy"))
+
+
+def huffman_bits(spark, sf_dir):
+    hist = quant.histogram(_quantised(spark, sf_dir), ["bits", "normalisation"], "levels")
+    coded = quant.huffman_bits(hist.withColumnRenamed("bits", "width"), ["width", "normalisation"])
+    return coded.select(F.col("width").alias("bits"), "normalisation", _r(F.col("bits") / F.col("n_symbols")).alias("bits_per_coordinate"))
+
+
+def terngrad_layered(spark, sf_dir):
+    layers = [40, 24]
+    df = codecs.terngrad_layered_decode(codecs.terngrad_layered_encode(tables.vectors(spark, sf_dir), D, layers, row="vec_id"), D, layers)
+    return df.select("vec_id", _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"), _r(vec.total(F.col("xhat")), 4).alias("total"))
+
+
+def _urr(two_level: bool):
+    def query(spark, sf_dir):
+        r = codecs.haar_rotation(D)
+        df = codecs.urr_decode(codecs.urr_encode(tables.vectors(spark, sf_dir), r, two_level=two_level), r, two_level)
+        return df.select("vec_id", _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"))
+
+    return query
+
+
+def bitpack(spark, sf_dir):
+    df = codecs.sign_encode(tables.vectors(spark, sf_dir), D).withColumn("w", quant.pack(F.col("msg.bits"), D))
+    word = F.get("w", F.lit(0))
+    return df.select("vec_id", word.bitwiseAND(F.lit(2**32 - 1)).alias("low"), F.shiftrightunsigned(word, 32).alias("high"), (quant.unpack(F.col("w"), D) == F.col("msg.bits")).alias("round_trip"))
+
+
+def size_gated(spark, sf_dir):
+    df = codecs.size_gated(tables.vectors(spark, sf_dir), "sign", D, threshold=32, row="vec_id")
+    return df.select("vec_id", _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"))
+
+
+def count_sketch(spark, sf_dir):
+    return sketch.sketch(tables.user_values(spark, sf_dir), "user_id", "value", **SKETCH).select("row", "bucket", _r("value", 4).alias("value"))
+
+
+def part_sketch(spark, sf_dir):
+    return sketch.sketch(tables.table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity", 3, 211).select("row", "bucket", _r("value", 4).alias("value"))
+
+
+def unsketch_topk(spark, sf_dir):
+    users = tables.user_values(spark, sf_dir)
+    table = sketch.sketch(users, "user_id", "value", **SKETCH)
+    top = sketch.abs_top_k(sketch.unsketch(table, users, "user_id", **SKETCH).withColumn("estimate", _r("estimate", 4)), "user_id", "estimate", 20)
+    return top.select("user_id", "estimate")
+
+
+def fetchsgd(spark, sf_dir):
+    """Two steps, the gradient of each being the values of half a month; the second update."""
+    users = tables.user_values(spark, sf_dir)
+    empty = spark.createDataFrame([], "row int, bucket long, value double")
+    m, e, update = empty, empty, None
+    for part in ("day < DATE '2024-01-16'", "day >= DATE '2024-01-16'"):
+        g = sketch.sketch(users.where(part), "user_id", "value", **SKETCH).withColumn("value", F.round("value", 6))
+        update, m, e = sketch.fetch_step(m, e, g, users, "user_id", k=10, **SKETCH)
+    return update.select("user_id", _r("value", 4).alias("value"))
+
+
+def _model(spark, values: np.ndarray) -> DataFrame:
+    rows = [(c, i, float(v)) for c, row in enumerate(values) for i, v in enumerate(row)]
+    return spark.createDataFrame(rows, "cluster int, i int, value double").select("cluster", "i", _r("value").alias("value"))
+
+
+def _kmeans(rounds: int, codec: str):
+    def query(spark, sf_dir):
+        return _model(spark, workloads.kmeans(tables.vectors(spark, sf_dir, 10), 10, D, rounds, codec)[0])
+
+    return query
+
+
+def _power(rounds: int, codec: str, lr: float):
+    def query(spark, sf_dir):
+        v, _ = workloads.power_iteration(tables.vectors(spark, sf_dir, 10), D, rounds, codec, lr)
+        return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, value double").select("i", _r("value").alias("value"))
+
+    return query
+
+
+def _federated(codec: str, weighted: bool):
+    def query(spark, sf_dir):
+        return _model(spark, workloads.federated_round(tables.vectors(spark, sf_dir, 10), np.zeros((10, D + 1)), codec, 1.0, weighted))
+
+    return query
+
+
+def codec_report(spark, sf_dir):
+    """Mean NMSE by dimension and codec over 50 synthetic lognormal vectors each, one column per codec."""
+    names = ["sign", "two_means", "hadamard_sq", "kashin_sq", "terngrad"]
+    out = None
+    for d in (16, 64, 128):
+        v = tables.synthetic(spark, "lognormal", d, 50).withColumn("client", F.lit(0))
+        for name in names:
+            part = codecs.round_trip(v, name, d, row="trial").select(F.lit(d).alias("dim"), F.lit(name).alias("codec"), estimate.nmse(F.col("x"), F.col("xhat")).alias("nmse"))
+            out = part if out is None else out.unionByName(part)
+    means = out.groupBy("dim", "codec").agg(_r(F.avg("nmse")).alias("nmse"))
+    return estimate.report(means, "dim", "codec", "nmse", names)
+
+
+def figure_nmse(spark, sf_dir):
+    """Closed-form NMSE of the sign codec by distribution and dimension."""
+    out = None
+    for dist in ("lognormal", "normal", "exponential"):
+        for d in (4, 16, 64):
+            y = codecs.rotate(tables.synthetic(spark, dist, d, 40).withColumn("client", F.lit(0)), "x", "y", d)
+            part = y.select(F.lit(dist).alias("distribution"), F.lit(d).alias("dim"), estimate.sign_nmse(F.col("y")).alias("nmse"))
+            out = part if out is None else out.unionByName(part)
+    return estimate.trials(out, ["distribution", "dim"]).select("distribution", "dim", _r("mean", 5).alias("mean"), _r("std", 5).alias("std"))
+
+
+def rolling_metric(spark, sf_dir):
+    hourly = tables.table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return estimate.rolling_mean(hourly, "hour", "cents", 24, ["event_type"]).select("event_type", "hour", _r("rolling").alias("rolling"))
+
+
+def streaming_sketch(spark, sf_dir):
+    """The daily count sketches of the events, computed as a stream that is run until its input ends."""
+    batch = tables.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = sketches.run_once(sketches.windowed_sketch(stream, "user_id", "value", "ts", "1 day", "1 hour", 3, 31))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "row", "bucket", _r("value", 4).alias("value"))
+
+
+QUERIES = {
+    "sign_encode": sign_encode, "sign_nmse": sign_nmse, "two_means_encode": two_means_encode, "two_means_nmse": two_means_nmse, "two_means_converged": two_means_converged,
+    "split_at_mean_encode": split_at_mean_encode,
+    **{f"{n}_roundtrip": _round_trip(n) for n in ("identity", "sign", "two_means", "split_at_mean", "hadamard_sq", "kashin_sq", "terngrad", "terngrad_clipped", "terngrad_population")},
+    "terngrad_layered_roundtrip": terngrad_layered, "urr_sign": _urr(False), "urr_two_means": _urr(True), "bitpack": bitpack, "size_gated_encode": size_gated,
+    "mean_estimate": mean_estimate, "mean_of_ten_clients": mean_of_ten_clients,
+    "entropy_nmse": entropy_nmse, "entropy_bits": entropy_bits, "huffman_bits": huffman_bits,
+    "count_sketch": count_sketch, "part_sketch": part_sketch, "unsketch_topk": unsketch_topk, "fetchsgd": fetchsgd, "streaming_sketch": streaming_sketch,
+    "kmeans_round": _kmeans(1, "identity"), "kmeans_3_rounds": _kmeans(3, "identity"), "kmeans_round_sign": _kmeans(1, "sign"), "kmeans_round_two_means": _kmeans(1, "two_means"),
+    "power_iteration_2": _power(2, "identity", 1.0), "power_iteration_feedback_2": _power(2, "sign", 0.5),
+    "federated_round": _federated("identity", True), "federated_round_unweighted": _federated("identity", False), "federated_round_sign": _federated("sign", True),
+    "codec_report": codec_report, "figure_nmse": figure_nmse, "rolling_metric": rolling_metric,
+}
