@@ -6,13 +6,11 @@ between. All but the last return the columns of documents. Rows with a null doc_
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash
-from vecloom.llm.kernel import checkpointed, documents
+from vecloom.llm.kernel import checkpointed, documents, staged
 
 #: Identifiers that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -75,12 +73,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; what lies between them is kept in the session's shared checkpoint folder."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{context.applicationId}"
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(place := f"{shared}/pipeline-{uuid.uuid4().hex}/{name}")
-            docs = spark.read.parquet(place)
+            docs = staged(docs, name)
     return docs

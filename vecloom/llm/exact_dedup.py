@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import checkpointed, documents, pieces
+from .kernel import checkpointed, documents, pieces, staged
 
 MEMTABLE_ROWS = 200_000
 RANGE_ROWS = 1 << 20
@@ -133,10 +133,10 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
     # every hit's bytes against those of the row that stays
     wanted = hits.select("id", "digest", "keep_id").distinct()
     texts = df.select(F.col(doc_id).cast("long").alias("id"), norm.alias("norm"))
-    held = texts.where("id IS NOT NULL").join(wanted.where("id IS NOT NULL"), "id").where(F.unhex(digest(F.col("norm"))) == F.col("digest"))
+    held = staged(texts.where("id IS NOT NULL").join(wanted.where("id IS NOT NULL"), "id").where(F.unhex(digest(F.col("norm"))) == F.col("digest")), "hits")
     stays = held.where("id = keep_id").select(F.col("digest").alias("digest_"), F.col("norm").alias("norm_")).distinct()
-    differ = held.join(stays, F.col("digest") == F.col("digest_")).where("norm <> norm_").select("digest").distinct()
-    bad = checkpointed(differ)
+    differ = held.join(stays, F.col("digest") == F.col("digest_")).where("norm <> norm_").select("digest")
+    bad = checkpointed(differ)  # not made distinct here: that would keep Spark from splitting a join on a digest that many share
     result = found
     if not bad.isEmpty():  # collisions: these digests are grouped by their bytes
         again = df.select(F.col(doc_id).cast("long").alias("id"), norm.alias("norm"), F.sha2(norm, 256).alias("text_sha256")).withColumn("digest", F.unhex(digest(F.col("norm")))).join(bad, "digest", "left_semi")

@@ -7,6 +7,7 @@ bytes other than ``[\\x20\\x09-\\x0D]``; that set is ASCII, so splitting bytes a
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,11 +182,22 @@ def crc_mod(doc_id: str, m: int) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder that the session names, cutting its lineage."""
     context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or f"file:///tmp/checkpoints/{context.applicationId}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: what the session names, or one of this machine where it names none (tests)."""
+    context = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{context.applicationId}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: for wide rows, which a checkpoint would keep uncompressed."""
+    df.write.parquet(place := f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def documents(spark, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
