@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, Words, checkpointed, documents, slices, string_bytes
+from .kernel import LOWER, Words, checkpointed, documents, pieces, slices, string_bytes
 
 SHINGLE = 3
 SEED = 42
@@ -26,6 +26,8 @@ BUDGET = 3
 #: Fingerprints that one task joins; larger groups are split at the trie's next SPLIT_BITS bits.
 GROUP_ROWS = 8192
 SPLIT_BITS = 6
+#: Rows of the groups that one call joins side by side.
+CELL_ROWS = 1 << 16
 #: Node pairs that are expanded at a time.
 PAIR_BLOCK = 1 << 18
 
@@ -96,15 +98,19 @@ def _components(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             label[:] = jumped
 
 
-def trie_join(prints: np.ndarray, budget: int) -> np.ndarray:
-    """Component label of each of the ascending distinct fingerprints, linked where at most ``budget`` bits differ.
+def trie_join(prints: np.ndarray, budget: int, groups: np.ndarray | None = None) -> np.ndarray:
+    """Component label of each fingerprint, linked where at most ``budget`` bits differ.
+
+    The fingerprints ascend and are distinct; with ``groups`` (bounds of n + 1 ranges) they do so within each range, and each range is
+    a trie of its own.
 
     Traverses pairs of nodes (ranges of prints that share their bits above a level), level by level on a stack of blocks so that
     memory stays bounded.
     """
     label = np.arange(len(prints))
-    whole = np.array([[0, len(prints), 0, len(prints), 0]], np.int64)
-    stack = [(64, whole)]
+    groups = np.array([0, len(prints)]) if groups is None else groups
+    roots = np.stack([groups[:-1], groups[1:], groups[:-1], groups[1:], np.zeros(len(groups) - 1, np.int64)], axis=1)
+    stack = [(64, roots[roots[:, 1] - roots[:, 0] > 1])]
     while stack:
         level, pairs = stack.pop()
         if len(pairs) > PAIR_BLOCK:
@@ -172,12 +178,21 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(table: pa.Table) -> pa.Table:
-        own = np.unique(np.asarray(table.column("fingerprint").combine_chunks()).view(np.uint64))
-        label = trie_join(own, budget)
+        own = np.asarray(table.column("fingerprint").combine_chunks()).view(np.uint64)
+        group = np.asarray(table.column("group").combine_chunks())
+        order = np.lexsort((own, group))
+        own, group = own[order], group[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (group[1:] != group[:-1])
+        own, group = own[new], group[new]
+        label = trie_join(own, budget, np.append(np.flatnonzero(np.diff(group, prepend=group[0] - 1)), len(own)))
         ends = np.flatnonzero(label != np.arange(len(own)))
         return pa.Table.from_arrays([pa.array(own[label[ends]].view(np.int64)), pa.array(own[ends].view(np.int64))], schema=out)
 
-    return ready.select("band", "value", "part", "fingerprint").groupBy("band", "value", "part").applyInArrow(join, "a long, b long").distinct()
+    # a cell holds whole groups, as many as a task joins side by side; two groups whose hashes agree only meet needlessly
+    cells = pieces(prints.count() * (budget + 1), CELL_ROWS, 32)
+    ready = ready.select(F.xxhash64("band", "value", "part").alias("group"), "fingerprint").withColumn("cell", F.pmod("group", F.lit(cells)))
+    return ready.groupBy("cell").applyInArrow(join, "a long, b long").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
