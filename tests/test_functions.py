@@ -43,10 +43,10 @@ def test_fwht_wants_a_power_of_two():
 
 
 def test_prng_contract(spark):
-    got = spark.range(3).select(prng.signs(F.lit(7), 16).alias("s"), prng.uniform(prng.ROUNDING, F.lit("a"), F.lit(3)).alias("u")).first()
+    got = spark.range(3).select(prng.signs(F.lit(7), 40).alias("s"), prng.uniform(prng.ROUNDING, F.lit("a"), F.lit(3)).alias("u")).first()
     h = lambda k: hashlib.md5(k.encode()).hexdigest()
-    assert got.s == [1.0 if h(f"42:0:7:{i}")[0] < "8" else -1.0 for i in range(16)]
-    assert got.u == int(h("42:1:a:3")[:8], 16) / 2**32
+    assert got.s == [1.0 if h(f"42:0:7:{i // 32}")[i % 32] < "8" else -1.0 for i in range(40)]
+    assert got.u == int(h("42:1:a:0")[24:32], 16) / 2**32
 
 
 def test_dimensions():

@@ -17,19 +17,41 @@ def digest(stream: int, entity: Column | str | int, index: Column, seed: int = S
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), entity.cast("string"), index.cast("string")))
 
 
-def sign(stream: int, entity, index: Column, seed: int = SEED) -> Column:
-    """+1 or -1 with equal chances."""
-    return F.when(F.substring(digest(stream, entity, index, seed), 1, 1) < "8", 1.0).otherwise(-1.0)
+#: Draws that one digest holds: a hexadecimal digit per sign, eight per uniform.
+SIGNS_EACH, UNIFORMS_EACH = 32, 4
+
+
+def _sign_of(digit: Column) -> Column:
+    return F.when(digit < "8", 1.0).otherwise(-1.0)
+
+
+def _uniform_of(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("double") / float(2**32)
+
+
+def _draws(stream: int, entity, d: Column, each: int, of, seed: int) -> Column:
+    """d draws: one digest for every ``each`` of them."""
+    width = 32 // each
+    blocks = F.sequence(F.lit(0), F.floor((d - 1) / each).cast("int"))
+    one = lambda h: F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda j: of(F.substring(h, j * width + 1, F.lit(width))))
+    # the digest is bound by a lambda of its own, so that it is made once
+    return F.slice(F.flatten(F.flatten(F.transform(blocks, lambda b: F.transform(F.array(digest(stream, entity, b, seed)), one)))), F.lit(1), d)
 
 
 def uniform(stream: int, entity, index: Column, seed: int = SEED) -> Column:
-    """In [0, 1), a multiple of 2^-32."""
-    return F.conv(F.substring(digest(stream, entity, index, seed), 1, 8), 16, 10).cast("double") / float(2**32)
+    """Draw ``index`` of the entity: in [0, 1), a multiple of 2^-32."""
+    h = digest(stream, entity, F.floor(index / UNIFORMS_EACH).cast("int"), seed)
+    return _uniform_of(F.substring(h, (F.pmod(index, F.lit(UNIFORMS_EACH)) * 8 + 1).cast("int"), F.lit(8)))
+
+
+def uniforms(entity, d: Column, stream: int, seed: int = SEED) -> Column:
+    """Draws 0 to d - 1 of the entity."""
+    return _draws(stream, entity, d, UNIFORMS_EACH, _uniform_of, seed)
 
 
 def signs(entity, d: int, stream: int = ROTATION, seed: int = SEED) -> Column:
-    """The diagonal of d signs that belongs to an entity."""
-    return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: sign(stream, entity, i, seed))
+    """The diagonal of d signs that belongs to an entity: +1 or -1 with equal chances."""
+    return _draws(stream, entity, F.lit(d), SIGNS_EACH, _sign_of, seed)
 
 
 def bucket(row: Column, key: Column, cols: int, seed: int = SEED) -> Column:

@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import vec
-from .prng import ROUNDING, uniform
+from . import prng, vec
+from .prng import ROUNDING
 
 
 def sign_bits(y: Column) -> Column:
@@ -23,7 +23,7 @@ def sign_bits(y: Column) -> Column:
 
 def sign_bits_random_zero(y: Column, entity, stream: int = ROUNDING) -> Column:
     """As sign_bits, but a zero is a fair coin."""
-    return F.transform(y, lambda v, i: F.when(v < 0, 0).when(v > 0, 1).when(uniform(stream, entity, i) < 0.5, 0).otherwise(1))
+    return vec.let(lambda s: F.zip_with(s["y"], s["u"], lambda v, u: F.when(v < 0, 0).when(v > 0, 1).when(u < 0.5, 0).otherwise(1)), y=y, u=uniforms(y, entity, stream))
 
 
 def signs_of(bits: Column) -> Column:
@@ -101,7 +101,7 @@ def stochastic_levels(y: Column, entity, bits: int = 1, low: Column | None = Non
 def uniforms(y: Column, entity, stream: int = ROUNDING) -> Column:
     """A uniform for each coordinate of y."""
     entity = entity if isinstance(entity, Column) else F.col(entity)
-    return vec.let(lambda s: F.transform(F.sequence(F.lit(0), F.size(s["y"]) - 1), lambda i: uniform(stream, s["e"], i)), y=y, e=entity.cast("string"))
+    return vec.let(lambda s: prng.uniforms(s["e"], s["n"], stream), n=F.size(y), e=entity.cast("string"))
 
 
 def levels_from(y: Column, u: Column, low: Column, span: Column, bits: int) -> Column:
@@ -164,7 +164,7 @@ def unpack(words: Column, d: int) -> Column:
 
 def histogram(df: DataFrame, keys: list[str], symbols: str) -> DataFrame:
     """(keys, symbol, n) of the values of an array column."""
-    return df.select(*keys, F.explode(symbols).alias("symbol")).groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(*keys, F.explode_outer(symbols).alias("symbol")).where("symbol IS NOT NULL").groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 def entropy_bits(hist: DataFrame, keys: list[str]) -> DataFrame:

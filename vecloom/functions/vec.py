@@ -87,7 +87,7 @@ def clip(x: Column, most: Column | float) -> Column:
 
 def settle(x: Column, digits: int = 9) -> Column:
     """Round so that a sign or threshold decision doesn't hang on the order of additions."""
-    return F.transform(x, lambda v: F.round(v, digits))
+    return F.transform(x, lambda v: F.rint(v * float(10**digits)) / float(10**digits))
 
 
 def squared_distance(x: Column, y: Column) -> Column:

@@ -26,16 +26,19 @@ def two_means_nmse(y: Column, m: Column) -> Column:
 
 
 def coordinates(df: DataFrame, keys: list[str], x: str = "xhat") -> DataFrame:
-    """(keys, i, v): one row per coordinate."""
-    return df.select(*keys, F.posexplode(x).alias("i", "v"))
+    """(keys, i, v): one row per coordinate; null vectors have none.
+
+    The outer form, since Spark infers a filter on the array from the other and computes the array once more for it.
+    """
+    return df.select(*keys, F.posexplode_outer(x).alias("i", "v")).where("i IS NOT NULL")
 
 
 def mean_estimate(df: DataFrame, keys: list[str], x: str = "xhat", weight: str | None = None) -> DataFrame:
     """(keys, i, mean) of decoded vectors, weighted on demand. Sums are combined before the shuffle: what travels is a row per task,
     group and coordinate, however many vectors there are. Null vectors and weights don't count; a group of weight 0 has mean 0."""
     w = F.col(weight) if weight else F.lit(1.0)
-    long = df.where(F.col(x).isNotNull() & w.isNotNull()).select(*keys, w.alias("__w"), F.posexplode(x).alias("i", "v"))
-    sums = long.groupBy(*keys, "i").agg(F.sum(F.col("__w") * F.col("v")).alias("s"), F.sum("__w").alias("w"))
+    long = coordinates(df.withColumn("__w", w.cast("double")), [*keys, "__w"], x)
+    sums = long.where("__w IS NOT NULL").groupBy(*keys, "i").agg(F.sum(F.col("__w") * F.col("v")).alias("s"), F.sum("__w").alias("w"))
     return sums.select(*keys, "i", vec.ratio(F.col("s"), F.col("w")).alias("mean"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 D = 64
 _VECTORS = "v AS (SELECT vec_id, label, CAST(vec_id % {n} AS INTEGER) AS client, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
-_SIGNS = "sg{d} AS (SELECT CAST(c AS INTEGER) AS client, i, CASE WHEN substr(md5('42:0:' || c || ':' || i), 1, 1) < '8' THEN CAST(1 AS DOUBLE) ELSE -1 END AS s FROM range({n}) a(c), range({d}) b(i))"
+_SIGNS = "sg{d} AS (SELECT CAST(c AS INTEGER) AS client, i, CASE WHEN substr(md5('42:0:' || c || ':' || (i // 32)), CAST(i % 32 + 1 AS INTEGER), 1) < '8' THEN CAST(1 AS DOUBLE) ELSE -1 END AS s FROM range({n}) a(c), range({d}) b(i))"
 _NMSE = "CASE WHEN sum({x} * {x}) = 0 THEN 0 ELSE sum(({x} - {h}) * ({x} - {h})) / sum({x} * {x}) END"
 
 
@@ -13,14 +13,14 @@ def _h(a: str, b: str) -> str:
 
 
 def _u(stream: int, entity: str, i: str = "i") -> str:
-    return f"(CAST('0x' || substr(md5('42:{stream}:' || {entity} || ':' || {i}), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+    return f"(CAST('0x' || substr(md5('42:{stream}:' || {entity} || ':' || ({i} // 4)), CAST({i} % 4 * 8 + 1 AS INTEGER), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
 
 def _transform(name: str, source: str, value: str, keys: str, d: int, settled: bool = True) -> str:
     """name(keys, i, y): Walsh-Hadamard transform of source(keys, i, value)."""
     inner = f"sum(t.{value} * {_h('t.i', 'b.i')}) * (1 / sqrt(CAST({d} AS DOUBLE)))"
     k = ", ".join(f"t.{c.strip()}" for c in keys.split(","))
-    return f"{name} AS (SELECT {k}, b.i AS i, {f'round({inner}, 9)' if settled else inner} AS y FROM {source} t, range({d}) b(i) GROUP BY {k}, b.i)"
+    return f"{name} AS (SELECT {k}, b.i AS i, {f'round_even({inner} * 1e9, 0) / 1e9' if settled else inner} AS y FROM {source} t, range({d}) b(i) GROUP BY {k}, b.i)"
 
 
 def _rotated(n: int = 1, d: int = D) -> str:
@@ -73,7 +73,7 @@ def _kashin() -> str:
                   f"c{k} AS (SELECT f.vec_id, label, client, i, greatest(-m * {0.9**k!r}, least(m * {0.9**k!r}, y)) AS y FROM f{k} f JOIN m0 ON m0.vec_id = f.vec_id)"]
         if k < 2:
             parts += [_transform(f"g{k}", f"c{k}", "y", "vec_id, label, client", p, False), f"r{k + 1} AS (SELECT a.vec_id, a.label, a.client, a.i, a.x - b.y * s AS x FROM r{k} a JOIN g{k} b ON a.vec_id = b.vec_id AND a.i = b.i JOIN sg{p} g ON g.client = a.client AND g.i = a.i)"]
-    parts += ["y AS (SELECT vec_id, label, client, i, round(sum(y), 9) AS y FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY vec_id, label, client, i)", _LEVELS, _decoded(1, p)]
+    parts += ["y AS (SELECT vec_id, label, client, i, round_even(sum(y) * 1e9, 0) / 1e9 AS y FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY vec_id, label, client, i)", _LEVELS, _decoded(1, p)]
     return ", ".join(parts)
 
 
@@ -184,7 +184,7 @@ def _figure() -> str:
             normal = f"sqrt(-2 * ln(1 - {_u(2, e, '(2 * i)')})) * cos(2 * pi() * {_u(2, e, '(2 * i + 1)')})"
             x = {"lognormal": f"exp({normal})", "normal": normal, "exponential": f"-ln(1 - {_u(2, e)})"}[dist]
             one.append(f"""SELECT '{dist}' AS distribution, {d} AS dim, {d} * sum(y * y) / (sum(abs(y)) * sum(abs(y))) - 1 AS nmse FROM (
-SELECT t, b.i, round(sum(x * {_h('a.i', 'b.i')}) * (1 / sqrt(CAST({d} AS DOUBLE))), 9) AS y FROM (SELECT t, i, {x} * CASE WHEN substr(md5('42:0:0:' || i), 1, 1) < '8' THEN 1 ELSE -1 END AS x FROM range(40) p(t), range({d}) q(i)) a, range({d}) b(i) GROUP BY t, b.i) GROUP BY t""")
+SELECT t, b.i, round_even(sum(x * {_h('a.i', 'b.i')}) * (1 / sqrt(CAST({d} AS DOUBLE))) * 1e9, 0) / 1e9 AS y FROM (SELECT t, i, {x} * CASE WHEN substr(md5('42:0:0:' || (i // 32)), CAST(i % 32 + 1 AS INTEGER), 1) < '8' THEN 1 ELSE -1 END AS x FROM range(40) p(t), range({d}) q(i)) a, range({d}) b(i) GROUP BY t, b.i) GROUP BY t""")
     return f"SELECT distribution, dim, round(avg(nmse), 5) + 0.0 AS mean, round(stddev_samp(nmse), 5) + 0.0 AS std FROM ({' UNION ALL '.join(one)}) GROUP BY distribution, dim"
 
 

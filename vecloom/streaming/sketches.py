@@ -20,7 +20,7 @@ def windowed_sketch(events: DataFrame, key: str, value: str, ts: str, window: st
 
 def running_mean(messages: DataFrame, key: str, x: str) -> DataFrame:
     """(key, i, n, mean) of a stream of decoded vectors."""
-    return messages.select(key, F.posexplode(x).alias("i", "v")).groupBy(key, "i").agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    return messages.select(key, F.posexplode_outer(x).alias("i", "v")).where("i IS NOT NULL").groupBy(key, "i").agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
 
 
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
