@@ -28,6 +28,8 @@ REPEATS = 16
 SAMPLED = 2
 #: Text bytes of the items that are sent to the tasks at a time; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 16 << 20
+#: Text bytes that are searched at a time: each item length costs a few calls per slice, so larger ones are cheaper.
+SEARCH_BYTES = 2 << 20
 
 _OUT = "__id long, item_id long, distance int, start_word long, n_words int"
 
@@ -204,7 +206,7 @@ def leaks(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "
             for batch in batches:
                 ids = np.asarray(batch.column(0))
                 data, offsets = string_bytes(batch.column(1))
-                for a, b in slices(offsets):
+                for a, b in slices(offsets, SEARCH_BYTES):
                     for row, item, distance, start, n in shipped.value.search(Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])):
                         order = np.lexsort((start, distance, item, row))
                         row, item, distance, start, n = (x[order] for x in (row, item, distance, start, n))
