@@ -164,3 +164,23 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0])], "k string, x array<double>").write.parquet(f"file://{tmp_path}/v")
     s = spark.readStream.schema("k string, x array<double>").parquet(f"file://{tmp_path}/v")
     assert {(r.i, r.n, r["mean"]) for r in sketches.run_once(sketches.running_mean(s, "k", "x")).collect()} == {(0, 2, 2.0), (1, 2, 4.0)}
+
+
+def test_packed_messages_and_timing(spark):
+    df = vectors(spark, np.random.default_rng(8).normal(size=(3, 64)))
+    sent = codecs.packed(codecs.sign_encode(df, 64), 64)
+    assert sent.select("msg.*").columns == ["scale", "words"]
+    assert np.array_equal(decoded(codecs.sign_decode(codecs.unpacked(sent, 64), 64))[1], decoded(codecs.round_trip(df, "sign", 64))[1])
+    assert codecs.encode_seconds(df, "sign", 64, repeats=1) > 0
+
+
+def test_more_bits_and_more_steps_are_better(spark):
+    df = vectors(spark, np.random.default_rng(9).normal(size=(12, 64)))
+    error = lambda name: codecs.round_trip(df, name, 64, row="vec_id").agg(F.avg(estimate.nmse(F.col("x"), F.col("xhat")))).first()[0]
+    assert error("hadamard_8bit") < error("hadamard_4bit") < error("hadamard_2bit") < error("hadamard_sq")
+    assert error("two_means_lloyd") <= error("two_means") + 1e-9 <= error("sign") + 1e-2
+
+
+def test_epochs(spark):
+    df = spark.range(5).select(F.col("id").alias("e"), F.lit(0.5).alias("v"))
+    assert [tuple(r) for r in estimate.epochs(df, "e", 1, 2, "v", 100.0).orderBy("e").collect()] == [(1, 50.0), (2, 50.0)]

@@ -6,8 +6,10 @@ rotation and rounding are functions of the seed. The rotation diagonal depends o
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -154,6 +156,25 @@ def identity_decode(df: DataFrame, d: int, entity: str = "client") -> DataFrame:
     return df.withColumn("xhat", F.col("msg.x"))
 
 
+def packed(df: DataFrame, d: int) -> DataFrame:
+    """A 0/1 message with its bits as 64-bit words, as it would be sent; d is the number of bits."""
+    return df.withColumn("msg", F.col("msg").withField("words", quant.pack(F.col("msg.bits"), d)).dropFields("bits"))
+
+
+def unpacked(df: DataFrame, d: int) -> DataFrame:
+    return df.withColumn("msg", F.col("msg").withField("bits", quant.unpack(F.col("msg.words"), d)).dropFields("words"))
+
+
+def encode_seconds(df: DataFrame, name: str, d: int, repeats: int = 3, **columns) -> float:
+    """Median wall-clock seconds of encoding all of df, without writing it anywhere."""
+    took = []
+    for _ in range(repeats):
+        began = time.perf_counter()
+        codec(name).encode(df, d, **columns).select("msg").write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    return sorted(took)[len(took) // 2]
+
+
 # --- uniform random rotation -----------------------------------------------------------------------------------------------------
 
 #: The matrix has d² numbers and is sent to every task.
@@ -200,6 +221,8 @@ CODECS = {c.name: c for c in (
     Codec("two_means", two_means_encode, two_level_decode),
     Codec("split_at_mean", split_encode, two_level_decode),
     Codec("hadamard_sq", hadamard_encode, hadamard_decode),
+    *(Codec(f"hadamard_{b}bit", partial(hadamard_encode, bits=b), partial(hadamard_decode, bits=b), False, lambda d, b=b: b * vec.next_power(d) / d) for b in (2, 4, 8)),
+    Codec("two_means_lloyd", partial(two_means_encode, rounds=64), two_level_decode),
     Codec("kashin_sq", kashin_encode, kashin_decode, False, lambda d: vec.kashin_dim(d) / d),
     Codec("terngrad", terngrad_encode, terngrad_decode, False, lambda d: 2.0),
     Codec("terngrad_clipped", lambda df, d, **k: terngrad_encode(df, d, variant="clipped", **k), terngrad_decode, False, lambda d: 2.0),

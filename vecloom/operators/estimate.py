@@ -68,6 +68,11 @@ def rolling_mean(df: DataFrame, order: str, value: str, rows: int = 150, keys: l
     return df.withColumn("rolling", F.when(F.count(value).over(w) == rows, F.avg(value).over(w)))
 
 
+def epochs(df: DataFrame, order: str, first: int, last: int, value: str, factor: float = 1.0) -> DataFrame:
+    """Rounds first to last of a series, scaled (100 for percentages)."""
+    return df.where(F.col(order).between(first, last)).withColumn(value, F.col(value) * factor)
+
+
 def report(df: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
     """One row per ``row``, one column per name in ``columns``."""
     return df.groupBy(row).pivot(column, columns).agg(F.first(value))

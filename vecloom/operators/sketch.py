@@ -45,6 +45,13 @@ def unsketch(table: DataFrame, keys: DataFrame, key: str, rows: int, cols: int)
     return found.groupBy(key).agg(F.percentile(F.col("sign") * F.coalesce("value", F.lit(0.0)), F.lit(0.5)).alias("estimate"))
 
 
+def mean_of_sketches(df: DataFrame, key: str, value: str, client: str, rows: int, cols: int) -> DataFrame:
+    """(key, estimate) of the clients' mean vector: their sketches are summed as they are, decoded once and divided by their number."""
+    table = sketch(df, key, value, rows, cols)
+    n = df.where(F.col(client).isNotNull()).agg(F.count_distinct(client).alias("n"))
+    return unsketch(table, df, key, rows, cols).crossJoin(F.broadcast(n)).select(key, (F.col("estimate") / F.greatest("n", F.lit(1))).alias("estimate"))  # n: one row
+
+
 def abs_top_k(df: DataFrame, key: str, value: str, k: int, groups: tuple[str, ...] = ()) -> DataFrame:
     """The k rows of largest magnitude, ties by key; with groups, k of each.
 

@@ -63,6 +63,8 @@ def _two_q(t: str, up: str) -> str:
 _SPLIT = "t AS (SELECT vec_id, client, cut, n0, n - n0 AS n1, CASE WHEN n0 = 0 OR n0 = n THEN s / n ELSE s0 / n0 END AS c0, CASE WHEN n0 = 0 OR n0 = n THEN s / n ELSE (s - s0) / (n - n0) END AS c1 FROM (SELECT vec_id, client, cut, n, s, count(*) FILTER (y <= cut) AS n0, coalesce(sum(y) FILTER (y <= cut), 0) AS s0 FROM (SELECT *, sum(y) OVER w AS s, count(*) OVER w AS n, sum(y) OVER w / count(*) OVER w AS cut FROM y WINDOW w AS (PARTITION BY vec_id)) GROUP BY vec_id, client, cut, n, s))"
 _LEVELS = "rg AS (SELECT vec_id, client, min(y) AS low, max(y) - min(y) AS span FROM y GROUP BY vec_id, client), p AS (SELECT y.vec_id, y.label, y.client, y.i, low, span, CASE WHEN span = 0 THEN 0 ELSE (y - low) / span END AS p FROM y JOIN rg ON rg.vec_id = y.vec_id), q AS (SELECT vec_id, label, client, i, low + span * (floor(p) + CASE WHEN " + _u(1, "client || '.' || vec_id") + " < p - floor(p) THEN 1 ELSE 0 END) AS q FROM p)"
 
+_LEVELS_4 = _LEVELS.replace("(y - low) / span END AS p", "(y - low) / span END * 15 AS p").replace("span * (floor(p)", "span / 15 * (floor(p)")
+
 
 def _kashin() -> str:
     p = 128
@@ -202,6 +204,11 @@ ORACLE_SQL = {
     "split_at_mean_encode": f"WITH {_rotated()}, {_SPLIT}, {_two_q('t', 'y > t.cut')} SELECT t.vec_id, round(f * c0, 6) + 0.0 AS c0, round(f * c1, 6) + 0.0 AS c1, n0, n1 FROM t JOIN w ON w.vec_id = t.vec_id",
     "split_at_mean_roundtrip": f"WITH {_rotated()}, {_SPLIT}, {_two_q('t', 'y > t.cut')}, {_decoded()} {_COMPARE}",
     "hadamard_sq_roundtrip": f"WITH {_rotated()}, {_LEVELS}, {_decoded()} {_COMPARE}",
+    "hadamard_4bit_roundtrip": f"WITH {_rotated()}, {_LEVELS_4}, {_decoded()} {_COMPARE}",
+    "two_means_lloyd_roundtrip": f"WITH {_rotated()}, {', '.join(_two_means(24))}, {_two_q('t24', 'y >= t24.cut')}, {_decoded()} {_COMPARE}",
+    "packed_sign": f"WITH {_rotated()}, {_SCALE}, {_SIGN_Q}, {_decoded()} {_COMPARE}",
+    "sketch_mean": f"WITH s0 AS ({_sketch('events', 'user_id', 'value', 5, 97)}), e AS (SELECT user_id, round(estimate / (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events), 4) + 0.0 AS estimate FROM ({_unsketch('s0')})) SELECT * FROM e ORDER BY abs(estimate) DESC, user_id LIMIT 20",
+    "accuracy_epochs": "SELECT hour, round(share * 100, 6) + 0.0 AS share FROM (SELECT CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS hour, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / count(*) AS share FROM events GROUP BY 1) WHERE hour BETWEEN 100 AND 200",
     "kashin_sq_roundtrip": f"WITH {_kashin()} {_COMPARE}",
     "terngrad_roundtrip": _ternary("CAST('inf' AS DOUBLE)", "a"),
     "terngrad_clipped_roundtrip": _ternary("2.5 * ss", "th"),

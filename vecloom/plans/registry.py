@@ -188,6 +188,39 @@ def _federated(codec: str, weighted: bool):
     return query
 
 
+def sketch_mean(spark, sf_dir):
+    """Mean of the users' values over days as clients, from one summed sketch; the 20 largest."""
+    means = sketch.mean_of_sketches(tables.user_values(spark, sf_dir), "user_id", "value", "day", **SKETCH).withColumn("estimate", _r("estimate", 4))
+    return sketch.abs_top_k(means, "user_id", "estimate", 20)
+
+
+def packed_sign(spark, sf_dir):
+    """The sign codec with its bits packed on the way."""
+    df = codecs.packed(codecs.sign_encode(tables.vectors(spark, sf_dir), D), D)
+    back = codecs.sign_decode(codecs.unpacked(df, D), D)
+    return back.select("vec_id", _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"), _r(vec.total(F.col("xhat")), 4).alias("total"))
+
+
+def table_nmse(spark, sf_dir):
+    """Mean and deviation of the error of ten clients' mean by dimension and codec, over 10 synthetic lognormal vectors each."""
+    out = None
+    for d in (128, 1024, 8192):
+        v = tables.synthetic(spark, "lognormal", d, 10).withColumn("client", F.explode(F.sequence(F.lit(0), F.lit(9))))
+        for name in ("sign", "two_means", "hadamard_sq", "kashin_sq"):
+            error = estimate.estimate_error(codecs.round_trip(v, name, d, row="trial"), ["trial"])
+            part = error.select(F.lit(d).alias("dim"), F.lit(name).alias("codec"), "nmse")
+            out = part if out is None else out.unionByName(part)
+    return estimate.trials(out, ["dim", "codec"]).select("dim", "codec", _r("mean", 5).alias("mean"), _r("std", 5).alias("std"), "trials")
+
+
+def accuracy_epochs(spark, sf_dir):
+    """Hourly share of purchases as a percentage, hours 100 to 200 of the series: the shape of an accuracy curve's cut-out."""
+    e = tables.table(spark, sf_dir, "events")
+    hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)) / 3600).alias("hour")
+    share = e.select(hour, (F.col("event_type") == "purchase").cast("long").alias("p")).groupBy("hour").agg((F.sum("p") / F.count("p")).alias("share"))
+    return estimate.epochs(share, "hour", 100, 200, "share", 100.0).select("hour", _r("share").alias("share"))
+
+
 def codec_report(spark, sf_dir):
     """Mean NMSE by dimension and codec over 50 synthetic lognormal vectors each, one column per codec."""
     names = ["sign", "two_means", "hadamard_sq", "kashin_sq", "terngrad"]
@@ -228,7 +261,7 @@ def streaming_sketch(spark, sf_dir):
 QUERIES = {
     "sign_encode": sign_encode, "sign_nmse": sign_nmse, "two_means_encode": two_means_encode, "two_means_nmse": two_means_nmse, "two_means_converged": two_means_converged,
     "split_at_mean_encode": split_at_mean_encode,
-    **{f"{n}_roundtrip": _round_trip(n) for n in ("identity", "sign", "two_means", "split_at_mean", "hadamard_sq", "kashin_sq", "terngrad", "terngrad_clipped", "terngrad_population")},
+    **{f"{n}_roundtrip": _round_trip(n) for n in ("identity", "sign", "two_means", "split_at_mean", "hadamard_sq", "kashin_sq", "terngrad", "terngrad_clipped", "terngrad_population", "hadamard_4bit", "two_means_lloyd")},
     "terngrad_layered_roundtrip": terngrad_layered, "urr_sign": _urr(False), "urr_two_means": _urr(True), "bitpack": bitpack, "size_gated_encode": size_gated,
     "mean_estimate": mean_estimate, "mean_of_ten_clients": mean_of_ten_clients,
     "entropy_nmse": entropy_nmse, "entropy_bits": entropy_bits, "huffman_bits": huffman_bits,
@@ -236,5 +269,6 @@ QUERIES = {
     "kmeans_round": _kmeans(1, "identity"), "kmeans_3_rounds": _kmeans(3, "identity"), "kmeans_round_sign": _kmeans(1, "sign"), "kmeans_round_two_means": _kmeans(1, "two_means"),
     "power_iteration_2": _power(2, "identity", 1.0), "power_iteration_feedback_2": _power(2, "sign", 0.5),
     "federated_round": _federated("identity", True), "federated_round_unweighted": _federated("identity", False), "federated_round_sign": _federated("sign", True),
+    "sketch_mean": sketch_mean, "packed_sign": packed_sign, "table_nmse": table_nmse, "accuracy_epochs": accuracy_epochs,
     "codec_report": codec_report, "figure_nmse": figure_nmse, "rolling_metric": rolling_metric,
 }
