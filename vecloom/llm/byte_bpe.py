@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-A rank file lists byte strings in merge order. The encoder maps each byte to a printable character, rebuilds the merge of every
+A Latin text is cut by the rank file's pattern; each distinct piece of a batch that isn't in a bounded memo is encoded once by the
+library, and the text's ids are those of its pieces in order. Other texts are cut by the library as well. A rank file lists byte strings in merge order. The encoder maps each byte to a printable character, rebuilds the merge of every
 rank from the lower ranks and hands both to the library; the decoder keeps the inverse table from id to bytes. Characters that
 are split over several ids are whole again once the bytes of all ids are joined, so decoding works on bytes, and ``offsets``
 widens the span of an id that holds part of a character to that character.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +24,8 @@ from .kernel import documents
 SCHEMA = "n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 #: Characters given to the library at a time.
 BATCH_CHARS = 1 << 20
+#: Pieces that a worker remembers; when there would be more, it starts afresh.
+MEMO_PIECES = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -48,6 +52,17 @@ def _merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+#: ASCII and the Latin letters from U+00C0 on: in them, letters, digits and white space are plain ranges.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_BEYOND = re.compile(f"[^\x00-\x7f{_LATIN}]").search
+
+
+def _latin_pieces(pattern: str):
+    """Text -> pieces of a pattern of letters, numbers and white space, for texts in which these are the ranges above."""
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\t-\r {_LATIN}0-9]").replace(r"\p{L}", f"[{_LATIN}]").replace(r"\p{N}", "[0-9]")
+    return re.compile(out.replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]")).findall
+
+
 class Codec:
     """Encodes texts to ids and ids to bytes by a rank file."""
 
@@ -58,14 +73,36 @@ class Codec:
         chars = byte_characters()
         name = lambda token: "".join(chars[b] for b in token)
         merges = [tuple(map(name, _merge_of(t, ranks))) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
-        self.library = Tokenizer(models.BPE(vocab={name(t): i for t, i in ranks.items()}, merges=merges))
-        self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        model = models.BPE(vocab={name(t): i for t, i in ranks.items()}, merges=merges)
+        split, to_characters = pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.library, self.whole = Tokenizer(model), Tokenizer(model)
+        self.library.pre_tokenizer = to_characters  # of pieces
+        self.whole.pre_tokenizer = pre_tokenizers.Sequence([split, to_characters])  # of whole texts
+        self.pieces = _latin_pieces(pattern)
+        self.memo: dict[str, bytes] = {}
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             self.tokens[i] = t
 
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [None if _BEYOND(t) else self.pieces(t) for t in texts]
+        new = list({p for pieces in cut if pieces for p in pieces if p not in self.memo})
+        if len(self.memo) + len(new) > MEMO_PIECES:
+            self.memo.clear()
+            new = list({p for pieces in cut if pieces for p in pieces})
+        for i in range(0, len(new), 4096):  # pieces as the words of one call, which costs far less than a call each
+            part = new[i:i + 4096]
+            e = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
+            cuts = 4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))
+            raw = np.array(e.ids, "<u4").tobytes()
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist())), strict=True))
+        known = self.memo.__getitem__
+        rest = iter(self.whole.encode_batch_fast([t for t, pieces in zip(texts, cut, strict=True) if pieces is None], add_special_tokens=False))
+        return [np.array(next(rest).ids, "<u4").tobytes() if pieces is None else b"".join(map(known, pieces)) for pieces in cut]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.frombuffer(p, "<u4").tolist() for p in self.packed(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -119,8 +156,9 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ke
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for group in _groups(texts):
                 made: dict[str, list] = {c: [] for c in kinds}
-                for ids in own.encode(group):
-                    packed, decoded = np.array(ids, dtype="<u4").tobytes(), own.decode(ids)
+                for packed in own.packed(group):
+                    ids = np.frombuffer(packed, "<u4").tolist()
+                    decoded = own.decode(ids)
                     made["n_tokens"].append(len(ids))
                     made["ids"].append(packed)
                     made["decoded"].append(decoded)
