@@ -24,8 +24,8 @@ from .kernel import documents
 SCHEMA = "n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 #: Characters given to the library at a time.
 BATCH_CHARS = 1 << 20
-#: Pieces that a worker remembers; when there would be more, it starts afresh.
-MEMO_PIECES = 300_000
+#: Pieces that a worker remembers, beside those of the texts at hand.
+MEMO_PIECES = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -88,9 +88,6 @@ class Codec:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [None if _BEYOND(t) else self.pieces(t) for t in texts]
         new = list({p for pieces in cut if pieces for p in pieces if p not in self.memo})
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = list({p for pieces in cut if pieces for p in pieces})
         for i in range(0, len(new), 4096):  # pieces as the words of one call, which costs far less than a call each
             part = new[i:i + 4096]
             e = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -99,7 +96,11 @@ class Codec:
             self.memo.update(zip(part, map(raw.__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist())), strict=True))
         known = self.memo.__getitem__
         rest = iter(self.whole.encode_batch_fast([t for t, pieces in zip(texts, cut, strict=True) if pieces is None], add_special_tokens=False))
-        return [np.array(next(rest).ids, "<u4").tobytes() if pieces is None else b"".join(map(known, pieces)) for pieces in cut]
+        out = [np.array(next(rest).ids, "<u4").tobytes() if pieces is None else b"".join(map(known, pieces)) for pieces in cut]
+        if len(self.memo) > MEMO_PIECES:  # full: what came first stays, which holds the frequent pieces
+            for p in new:
+                del self.memo[p]
+        return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(p, "<u4").tolist() for p in self.packed(texts)]
