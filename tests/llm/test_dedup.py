@@ -115,6 +115,60 @@ def test_trie_join_is_all_pairs():
     assert [int(prints[i]) for i in label] == components(prints.tolist(), prints.tolist(), 2)
 
 
+def test_trie_join_of_wide_prints_is_all_pairs():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, (12, 2), dtype=np.uint64)
+    rows = {tuple(int(x) ^ int(y) for x, y in zip(b, f, strict=True)) for b in base for f in (np.uint64(1) << r.integers(0, 64, (25, 2), dtype=np.uint64))}
+    rows |= {(a, b ^ 6) for a, b in rows}
+    rows = sorted(rows)
+    label = simhash.trie_join(np.array(rows, np.uint64), 3)
+    flat = [(a << 64) | b for a, b in rows]
+    assert [flat[i] for i in label] == components(flat, flat, 3)
+
+
+def wide_print(t, k=5):
+    """Sizes and bits of the wide fingerprint, from the hashes of single shingles."""
+    from vecloom.llm.kernel import Words, mix64, windows
+
+    w = words(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    if not w:
+        return (0,) * simhash.WIDE_WORDS
+    own = set()
+    for i in range(max(1, len(w) - k + 1)):
+        part = np.frombuffer(" ".join(w[i:i + k]).encode(), np.uint8)
+        one = Words(part, np.array([0, len(part)]))
+        own.add(int(windows(one.hashes(), one.doc, len(w[i:i + k]))[0][0]))
+    out = []
+    for j in range(simhash.WIDE_WORDS):
+        h = [int(x) for x in mix64(np.array(sorted(own), np.uint64) ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))]
+        out.append(int(np.uint64(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))).view(np.int64)))
+    return tuple(out)
+
+
+def test_wide_fingerprints(frame, corpus):
+    got = {r[0]: tuple(r[1:]) for r in simhash.wide_fingerprints(frame(corpus)).collect()}
+    assert got == {i: wide_print(t) for i, t in corpus}
+
+
+@pytest.mark.parametrize("limit", [8192, 20])
+def test_near_copies(frame, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", limit)
+    r = np.random.default_rng(4)
+    data, cluster = [], {}
+    for c in range(12):
+        base = [f"w{x}" for x in r.integers(0, 5000, 400)]
+        for _ in range(60 if c == 0 else 4):
+            t = list(base)
+            for at in r.integers(0, 400, 4):
+                t[at] = f"new{r.integers(0, 10**6)}"
+            cluster[len(data)] = c
+            data.append((len(data), " ".join(t)))
+    low = {c: min(i for i, x in cluster.items() if x == c) for c in cluster.values()}
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(data + [(None, data[0][1]), (10**6, data[5][1].upper()), (10**6, data[5][1]), (10**7, "alone"), (10**7 + 1, None), (10**7 + 2, " ")])).collect()}
+    assert got == {i: low[c] for i, c in cluster.items()} | {10**6: 0, 10**7 + 1: 10**7 + 1, 10**7 + 2: 10**7 + 1}
+    assert simhash.near_copies(frame([])).count() == 0
+
+
 def brute_removed(data, size=13):
     first = {}
     for i, t in data:
