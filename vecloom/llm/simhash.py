@@ -29,7 +29,7 @@ SPLIT_BITS = 6
 #: Rows of the groups that one call joins side by side.
 CELL_ROWS = 1 << 16
 #: Node pairs that are expanded at a time.
-PAIR_BLOCK = 1 << 18
+PAIR_BLOCK = 1 << 15
 
 #: Wide fingerprints, for texts whose sets of five-word shingles have a Jaccard similarity of 0.8: words of 64 bits, and differing
 #: bits. At that similarity a bit differs with probability acos(1.6 / 1.8) / pi = 0.1515: 77.6 of 512 bits, standard deviation 8.1.
@@ -38,12 +38,12 @@ WIDE_WORDS = 8
 WIDE_BUDGET = 90
 #: Bits of a band; all bands of a wide fingerprint are used (one of 32 agrees in 91 % of the pairs at 0.8, in 97 % at 0.85).
 WIDE_BAND = 16
+#: Bytes of text, and runs of 255 shingles, that are expanded at a time for wide fingerprints.
+WIDE_SLICE = 1 << 17
+WIDE_RUNS = 64
 #: Pivots of oversized groups that are broadcast at most (about 80 bytes each); more are joined by a shuffle.
 BROADCAST_PIVOTS = 100_000
 
-_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-
-
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fingerprint long): bit b is 1 if it is set in over half the XXH64 of the word shingles, repeats included.
 
@@ -92,7 +92,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
-    return _ONES[x.view(np.uint16).reshape(-1, 4)].sum(axis=1, dtype=np.int64)
+    return np.bitwise_count(x).astype(np.int64)
 
 
 def _components(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -271,7 +271,7 @@ def wide_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             data, offsets = string_bytes(batch.column(1))
             out = np.zeros((batch.num_rows, WIDE_WORDS), np.int64)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, WIDE_SLICE):
                 words = Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 hashes, n = words.hashes(lower=True), np.diff(words.first)
                 h, within = windows(hashes, words.doc, shingle)
@@ -294,9 +294,15 @@ def wide_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 runs = -(-size // 255)
                 at = np.cumsum(runs) - runs
                 chunk = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(at, runs))
+                bounds = np.append(chunk, len(h))
                 for w in range(WIDE_WORDS):
-                    bits = np.unpackbits(mix64(h ^ np.uint64((w + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    votes = np.add.reduceat(np.add.reduceat(bits.view(np.uint64), chunk, axis=0).view(np.uint8).astype(np.int64), at, axis=0)
+                    sums = np.empty((len(chunk), 64), np.uint8)
+                    for lo in range(0, len(chunk), WIDE_RUNS):
+                        part = bounds[lo:lo + WIDE_RUNS + 1]
+                        own = mix64(h[part[0]:part[-1]] ^ np.uint64((w + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                        sums[lo:lo + WIDE_RUNS] = np.add.reduceat(bits.view(np.uint64), part[:-1] - part[0], axis=0).view(np.uint8)
+                    votes = np.add.reduceat(sums, at, axis=0, dtype=np.int64)
                     out[a + doc[begin], w] = np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(WIDE_WORDS))], names=[doc_id, *names])
 
