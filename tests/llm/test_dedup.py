@@ -169,6 +169,52 @@ def test_near_copies(frame, monkeypatch, limit):
     assert simhash.near_copies(frame([])).count() == 0
 
 
+def shingle_set(t, k=5):
+    w = words(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def near_copies_by_all_pairs(data):
+    """Components over the narrow links and all pairs with a Jaccard similarity of 0.8 at least."""
+    prints, sets = [fingerprint(t) for _, t in data], [shingle_set(t) for _, t in data]
+    label = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 3 or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    ids = [i for i, _ in data]
+    low = {c: min(i for i, x in zip(ids, label, strict=True) if x == c) for c in label}
+    return {i: low[c] for i, c in zip(ids, label, strict=True) if label.count(c) > 1}
+
+
+def template_source(r, texts, edits):
+    """Texts of one template, each with its own edits: a hot source."""
+    base = [f"t{x}" for x in range(300)]
+    out = []
+    for _ in range(texts):
+        t = list(base)
+        for at in r.choice(300, edits, replace=False):
+            t[at] = f"new{r.integers(0, 10**9)}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize(("limit", "rounds"), [(4, 0), (8192, 3)])
+def test_near_copies_of_a_hot_source_are_whole_whatever_its_size(frame, monkeypatch, limit, rounds):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", limit)
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", rounds)
+    r = np.random.default_rng(5)
+    data = list(enumerate(template_source(r, 60, 4) + template_source(r, 40, 7)))
+    for i, t in data[60:80]:  # partners at 0.8 or a little more
+        w = t.split(" ")
+        for at in r.choice(300, 6, replace=False):
+            w[at] = f"own{i}x{at}"
+        data.append((i + 1000, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(data)).collect()}
+    assert got == near_copies_by_all_pairs(data)
+
+
 def brute_removed(data, size=13):
     first = {}
     for i, t in data:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, Words, checkpointed, documents, mix64, pieces, slices, string_bytes, windows
+from .kernel import LOWER, Words, checkpointed, documents, mix64, pieces, slices, string_bytes, text_bytes, windows
 
 SHINGLE = 3
 SEED = 42
@@ -31,18 +31,26 @@ CELL_ROWS = 1 << 16
 #: Node pairs that are expanded at a time.
 PAIR_BLOCK = 1 << 15
 
-#: Wide fingerprints, for texts whose sets of five-word shingles have a Jaccard similarity of 0.8: words of 64 bits, and differing
-#: bits. At that similarity a bit differs with probability acos(1.6 / 1.8) / pi = 0.1515: 77.6 of 512 bits, standard deviation 8.1.
+#: Wide fingerprints: words of a shingle, words of 64 bits.
 WIDE_SHINGLE = 5
 WIDE_WORDS = 8
-WIDE_BUDGET = 90
-#: Bits of a band; all bands of a wide fingerprint are used (one of 32 agrees in 91 % of the pairs at 0.8, in 97 % at 0.85).
-WIDE_BAND = 16
-#: Bytes of text, and runs of 255 shingles, that are expanded at a time for wide fingerprints.
+#: Bytes of text, and runs of 255 shingles, that are expanded at a time for wide fingerprints and for shingle sets.
 WIDE_SLICE = 1 << 17
 WIDE_RUNS = 64
-#: Pivots of oversized groups that are broadcast at most (about 80 bytes each); more are joined by a shuffle.
-BROADCAST_PIVOTS = 100_000
+
+#: Near copies are texts whose sets of five-word shingles have a Jaccard similarity of at least SIMILAR[0] / SIMILAR[1].
+SIMILAR = (4, 5)
+#: Documents (about) whose shingles are counted to tell frequent ones, the count in them from which one is frequent, and how many are
+#: broadcast at most (16 bytes each). They order the shingles and spread the load; the result doesn't depend on them.
+SAMPLED_DOCS = 8192
+FREQUENT = 3
+MOST_FREQUENT = 200_000
+#: Rows of shingles that a task looks through for shared ones, and pairs that are compared at a time.
+SHARED_ROWS = 1 << 18
+PAIRS_AT_A_TIME = 1 << 19
+#: Rounds that link the rows of a shingle to one of them before all pairs that are still apart are compared.
+STAR_ROUNDS = 3
+
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fingerprint long): bit b is 1 if it is set in over half the XXH64 of the word shingles, repeats included.
@@ -259,6 +267,29 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
         doc_id, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", doc_id).alias("component_id"))
 
 
+def shingle_sets(words: Words, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, ...]:
+    """Hashes of the distinct word shingles by row and ascending, the row of each, and where each row with words begins and its count.
+
+    A-Z are lower-cased; a text with fewer words has one shingle.
+    """
+    hashes, n = words.hashes(lower=True), np.diff(words.first)
+    h, within = windows(hashes, words.doc, shingle)
+    shingles, docs = [h[within]], [words.doc[:len(h)][within]]
+    for k in range(1, shingle):
+        h, _ = windows(hashes, words.doc, k)
+        few = np.flatnonzero(n == k)
+        shingles.append(h[words.first[few]] if len(few) else h[:0])
+        docs.append(few)
+    h, doc = np.concatenate(shingles), np.concatenate(docs)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    if len(h):
+        new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+        h, doc = h[new], doc[new]
+    begin = np.flatnonzero(np.diff(doc, prepend=-1))
+    return h, doc, begin, np.diff(np.append(begin, len(h)))
+
+
 def wide_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
     """(id, w0 … w7 long): a fingerprint of 512 bits over a text's distinct word shingles, A-Z lower-cased.
 
@@ -273,23 +304,9 @@ def wide_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out = np.zeros((batch.num_rows, WIDE_WORDS), np.int64)
             for a, b in slices(offsets, WIDE_SLICE):
                 words = Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                hashes, n = words.hashes(lower=True), np.diff(words.first)
-                h, within = windows(hashes, words.doc, shingle)
-                shingles, docs = [h[within]], [words.doc[:len(h)][within]]
-                for k in range(1, shingle):
-                    h, _ = windows(hashes, words.doc, k)
-                    few = np.flatnonzero(n == k)
-                    shingles.append(h[words.first[few]] if len(few) else h[:0])
-                    docs.append(few)
-                h, doc = np.concatenate(shingles), np.concatenate(docs)
+                h, doc, begin, size = shingle_sets(words, shingle)
                 if not len(h):
                     continue
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-                h, doc = h[new], doc[new]
-                begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                size = np.diff(np.append(begin, len(h)))
                 # votes add up as bytes, eight side by side, over runs of 255 shingles at most
                 runs = -(-size // 255)
                 at = np.cumsum(runs) - runs
@@ -309,68 +326,179 @@ def wide_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return df.select(F.col(doc_id).cast("long"), F.col(text)).where(F.col(doc_id).isNotNull()).mapInArrow(run, schema)
 
 
-def _apart(a: str, b: str) -> str:
-    return " + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(WIDE_WORDS))
+def _sets(df: DataFrame, doc_id: str, text: str, schema: str, make) -> DataFrame:
+    """Rows that ``make`` (ids, hashes, row of each, begin and size of each row's set) returns as arrays, for slices of the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            data, offsets = string_bytes(batch.column(1))
+            for a, b in slices(offsets, WIDE_SLICE):
+                h, doc, begin, size = shingle_sets(Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]))
+                if len(h):
+                    made = make(ids[a:b], h, doc, begin, size)
+                    yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
+    return df.select(F.col(doc_id).cast("long"), F.col(text)).where(F.col(doc_id).isNotNull()).mapInArrow(run, schema)
+
+
+def shingle_arrays(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, shingles array<long>): distinct five-word shingles; rows without words or id are left out."""
+    return _sets(df, doc_id, text, "id long, shingles array<long>", lambda ids, h, doc, begin, size: {
+        "id": pa.array(ids[doc[begin]]), "shingles": pa.ListArray.from_arrays(pa.array(np.append(begin, len(h)), pa.int32()), pa.array(h.view(np.int64)))})
+
+
+def _frequent(df: DataFrame, doc_id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, and their counts in a sample of the documents."""
+    parts = max(1, df.count() // SAMPLED_DOCS)
+    sample = shingle_arrays(df.where(F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(parts)) == 0), doc_id, text)
+    counts = sample.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, n = np.asarray(top.column("h").combine_chunks()).view(np.uint64), np.asarray(top.column("n").combine_chunks())
+    order = np.argsort(h)
+    return h[order], n[order]
 
-def wide_links(classes: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
-    """From distinct wide fingerprints (low long, f struct of w0 …): links (a, b) by ``low``, a star per cluster and group.
 
-    Pairs meet where one of the bands agrees. A group beyond GROUP_ROWS first links all its rows near one of them, its pivot, and is
-    then dealt out by eight more bits, so that a cluster of any size is linked by many small joins.
+def shared_shingles(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(token, id, n, at): those of a row's rarest shingles that other rows may have among theirs.
+
+    All sets (n shingles) are sorted alike, rare shingles first. By the prefix filter two sets within the similarity t share a shingle
+    among the first n - ceil(t n) + 1 of both, and, of the smaller set, among the first n - ceil(2 t / (1 + t) n) + 1; ``at`` is its
+    place. Shingles that no other row has there are left out.
     """
-    bands = [(i, w, lo) for i, (w, lo) in enumerate((w, lo) for w in range(WIDE_WORDS) for lo in range(0, 64, WIDE_BAND))]
-    keyed = classes.select("low", "f", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("band"), F.expr(f"shiftrightunsigned(f.w{w}, {lo}) & {(1 << WIDE_BAND) - 1}L").alias("value"), F.expr(f"f.w{(w + 1) % WIDE_WORDS}").alias("next"), F.lit(0).alias("more"))
-        for i, w, lo in bands])).alias("k")).select("low", "f", "k.*").withColumn("group", F.xxhash64("band", "value"))
-    ready, stars, depth = None, None, 0
-    while True:
-        large = checkpointed(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("low", "f")).alias("pivot")).where(F.col("n") > GROUP_ROWS).select("group", "pivot"))
-        many = large.count()
-        fine = keyed if not many else keyed.join(F.broadcast(large) if many <= BROADCAST_PIVOTS else large, "group", "left_anti")
-        fine = fine.select("low", "f", "group")
-        ready = fine if ready is None else ready.unionByName(fine)
-        if not many:
-            break
-        split = keyed.join(F.broadcast(large) if many <= BROADCAST_PIVOTS else large, "group")
-        star = checkpointed(split.where(F.expr(f"{_apart('f', 'pivot.f')} <= {budget} AND low <> pivot.low")).select(F.col("pivot.low").alias("a"), F.col("low").alias("b")).distinct())
-        stars = star if stars is None else stars.unionByName(star)
-        depth += 8
-        split = split.withColumn("group", F.xxhash64("group", F.lit(depth), F.expr(f"shiftrightunsigned(next, {depth - 8}) & 255L"))).drop("pivot")
-        if depth == 64:  # rows that agree on 80 bits
-            ready = ready.unionByName(split.select("low", "f", "group"))
-            break
-        keyed = checkpointed(split)
+    top, under = SIMILAR
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(df, doc_id, text))
+    cells = pieces(text_bytes(df, text) // 24, SHARED_ROWS, 32)
+
+    def make(ids, h, doc, begin, size):
+        own, counts = frequent.value
+        count = np.zeros(len(h), np.int64)
+        if len(own):
+            where = np.minimum(np.searchsorted(own, h), len(own) - 1)
+            count = np.where(own[where] == h, counts[where], 0)
+        order = np.lexsort((h, count, doc))
+        n, at = np.repeat(size, size), np.arange(len(h)) - np.repeat(begin, size)
+        keep = under * (n - at) >= top * n
+        return {"token": pa.array(h[order][keep].view(np.int64)), "id": pa.array(ids[doc[keep]]), "n": pa.array(n[keep], pa.int32()), "at": pa.array(at[keep], pa.int32()), "often": pa.array(count[order][keep] > 0)}
+
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+
+    def several(table: pa.Table) -> pa.Table:
+        token, often = (np.asarray(table.column(c).combine_chunks().cast(pa.int64())) for c in ("token", "often"))
+        order = np.argsort(token, kind="stable")
+        same = np.diff(token[order]) == 0
+        keep = np.empty(len(token), bool)
+        keep[order] = np.append(same, False) | np.append(False, same)
+        return table.select(schema.names).filter(pa.array(keep | (often > 0))).cast(schema)
+
+    # frequent shingles have other rows, so theirs needn't meet and are spread
+    rows = _sets(df, doc_id, text, "token long, id long, n int, at int, often boolean", make)
+    rows = rows.withColumn("cell", F.pmod(F.when(F.col("often"), F.xxhash64("token", "id")).otherwise(F.col("token")), F.lit(cells)))
+    return rows.groupBy("cell").applyInArrow(several, "token long, id long, n int, at int")
+
+
+def _smaller(n: str, at: str) -> str:
+    """Whether a shingle is among those that the smaller set of a pair has to share."""
+    return f"({sum(SIMILAR)}L * ({n} - {at}) >= {2 * SIMILAR[0]}L * {n})"
+
+
+def _possible(x: str, y: str) -> str:
+    """Whether two sets that share this shingle as their first can be similar."""
+    return f"{sum(SIMILAR)}L * least({x}.n - {x}.at, {y}.n - {y}.at) >= {SIMILAR[0]}L * ({x}.n + {y}.n)"
+
+
+def all_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components (``root``) that may be similar, from rows (token, id, n, at, root).
+
+    The rows of a token meet in parts of at most about GROUP_ROWS rows of each side: those that may be the smaller set of a pair are
+    dealt out one way and all rows the other way, and each part of the one meets each part of the other. None is dropped.
+    """
+    top, under = SIMILAR
+    sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"int({_smaller('n', 'at')})")).alias("s"), (F.min("root") < F.max("root")).alias("open")).where("open AND s > 0")
+    limit = F.lit(GROUP_ROWS)
+    own = checkpointed(shared.join(sizes.select("token", F.ceil(F.col("s") / limit).alias("us"), F.ceil(F.col("m") / limit).alias("vs")), "token"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    x = own.where(_smaller("n", "at")).select("*", F.lit(True).alias("small"), deal("us").alias("u"), F.explode(F.expr("sequence(0L, vs - 1)")).alias("v"))
+    y = own.select("*", F.lit(False).alias("small"), F.explode(F.expr("sequence(0L, us - 1)")).alias("u"), deal("vs").alias("v"))
+    parts = x.unionByName(y).select(F.xxhash64("token", "u", "v").alias("part"), "id", "n", "at", "root", "small")
+    cells = pieces(own.count(), CELL_ROWS, 32)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(table: pa.Table) -> pa.Table:
-        low, group = np.asarray(table.column("low").combine_chunks()), np.asarray(table.column("group").combine_chunks())
-        own = np.stack([np.asarray(table.column(f"w{i}").combine_chunks()) for i in range(WIDE_WORDS)], axis=1).view(np.uint64)
-        order = np.lexsort((*own.T[::-1], group))
-        low, group, own = low[order], group[order], own[order]
-        new = np.append(True, (group[1:] != group[:-1]) | (own[1:] != own[:-1]).any(axis=1))
-        low, group, own = low[new], group[new], own[new]
-        label = trie_join(own, budget, np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(own)))
-        ends = np.flatnonzero(label != np.arange(len(own)))
-        return pa.Table.from_arrays([pa.array(low[label[ends]]), pa.array(low[ends])], schema=out)
-
-    cells = pieces(classes.count() * len(bands), CELL_ROWS, 32)
-    ready = ready.select("low", "group", "f.*", F.pmod("group", F.lit(cells)).alias("cell"))
-    found = ready.groupBy("cell").applyInArrow(join, "a long, b long").distinct()
-    return found if stars is None else found.unionByName(stars)
+        part, ids, n, at, root, small = (np.asarray(table.column(c).combine_chunks().cast(pa.int64())) for c in ("part", "id", "n", "at", "root", "small"))
+        order = np.lexsort((ids, n, small, part))
+        part, ids, n, at, root, small = (v[order] for v in (part, ids, n, at, root, small))
+        big = np.flatnonzero(small == 0)
+        little = np.flatnonzero(small)
+        lo, hi = np.searchsorted(part[big], part[little], "left"), np.searchsorted(part[big], part[little], "right")
+        ends = np.cumsum(hi - lo)
+        found = []
+        i = 0
+        while i < len(little):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS_AT_A_TIME, "right")))
+            each = hi[i:j] - lo[i:j]
+            p = np.repeat(little[i:j], each)
+            q = big[np.repeat(lo[i:j], each) + np.arange(len(p)) - np.repeat(np.cumsum(each) - each, each)]
+            ok = (root[p] != root[q]) & (n[p] <= n[q]) & (under * n[p] >= top * n[q]) & ((top + under) * np.minimum(n[p] - at[p], n[q] - at[q]) >= top * (n[p] + n[q]))
+            p, q = ids[p[ok]], ids[q[ok]]
+            if len(p):
+                found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0))
+            i = j
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
+
+    return parts.withColumn("cell", F.pmod("part", F.lit(cells))).groupBy("cell").applyInArrow(join, "a long, b long").distinct()
+
+
+def similar(df: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Those pairs (a, b) whose sets of five-word shingles have a Jaccard similarity of SIMILAR at least, by the sets themselves."""
+    ids = pairs.select(F.col("a").alias("__i")).union(pairs.select("b")).distinct()
+    sets = checkpointed(shingle_arrays(df.join(ids, F.col(doc_id).cast("long") == ids["__i"], "left_semi"), doc_id, text))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.where(f"{sum(SIMILAR)}L * size(array_intersect(x, y)) >= {SIMILAR[0]}L * (size(x) + size(y))").select("a", "b").distinct()
+
+
+def similar_links(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b), ``known`` ones included, that connect all pairs of rows whose sets of five-word shingles are similar.
+
+    Every link besides the known ones is a pair that ``similar`` has verified. First the rows of each shared shingle are compared with
+    one of them, in rounds with another one each, so that large clusters are linked by few comparisons; then all pairs are that share
+    one and aren't connected yet.
+    """
+    shared, links_ = checkpointed(shared_shingles(df, doc_id, text)), checkpointed(known)
+    for k in range(STAR_ROUNDS + 1):
+        roots = connected(links_)
+        shared = shared.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        tokens = shared.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.expr(_smaller("n", "at"))).alias("any")).where("r < s AND any").select("token")
+        shared = checkpointed(shared.join(tokens, "token", "left_semi"))
+        if shared.isEmpty():
+            break
+        if k < STAR_ROUNDS:
+            pivot = shared.where(_smaller("n", "at")).groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "at", "root")).alias("p"))
+            pairs = shared.withColumn("q", F.struct("n", "at")).join(pivot, "token").where(f"root <> p.root AND {_possible('p', 'q')} AND {SIMILAR[1]}L * least(n, p.n) >= {SIMILAR[0]}L * greatest(n, p.n)")
+            pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        else:
+            pairs = all_pairs(shared)
+        links_ = checkpointed(links_.unionByName(similar(df, checkpointed(pairs), doc_id, text)))
+    return links_
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component_id) of the rows whose texts are copies or near copies of others: fingerprints link as in near_groups, and wide
-    ones of five-word shingles where at most WIDE_BUDGET of 512 bits differ, a similarity of about 0.8.
+    """(id, component_id) of the rows whose texts are copies or near copies of others: fingerprints link as in near_groups, and so do
+    all pairs whose sets of five-word shingles have a Jaccard similarity of at least SIMILAR, compared exactly.
 
     component_id is the smallest id reachable. Rows that nothing links, and rows with a null id, are left out.
     """
     narrow = near_groups(df, doc_id, text).where(f"`{doc_id}` <> component_id").select(F.col(doc_id).alias("a"), F.col("component_id").alias("b"))
-    wide = checkpointed(wide_fingerprints(df, doc_id, text).select(F.col(doc_id).alias("id"), F.struct(*[f"w{i}" for i in range(WIDE_WORDS)]).alias("f")))
-    classes = checkpointed(wide.groupBy("f").agg(F.min("id").alias("low"), F.max("id").alias("high")))
-    same = wide.join(classes.where("low < high"), "f").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    return connected(narrow.unionByName(same).unionByName(wide_links(classes.select("low", "f")))).select(F.col("node").alias(doc_id), F.col("root").alias("component_id"))
+
+    def digest(ids, h, doc, begin, size):
+        d, e = (np.add.reduceat(mix64(h ^ np.uint64(salt)), begin).view(np.int64) for salt in (1, 2))
+        return {"id": pa.array(ids[doc[begin]]), "n": pa.array(size, pa.int64()), "d": pa.array(d), "e": pa.array(e)}
+
+    # equal sets of any number are linked beforehand
+    sets = checkpointed(_sets(df, doc_id, text, "id long, n long, d long, e long", digest))
+    classes = sets.groupBy("n", "d", "e").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    same = sets.join(classes, ["n", "d", "e"]).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    return connected(similar_links(df, narrow.unionByName(same), doc_id, text)).select(F.col("node").alias(doc_id), F.col("root").alias("component_id"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
