@@ -7,12 +7,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from vecloom.llm import byte_bpe, decontaminate, language_id, pii, quality
-from vecloom.llm.kernel import crc_mod
+from vecloom.llm.kernel import Words, crc_mod, string_bytes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -194,6 +195,26 @@ def test_decontamination(spark, frame, corpus):
     assert decontaminate.leaks(frame([]), bench).count() == decontaminate.leaks(frame(data), bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 9, 15, 55, 130, 270, 502])
+def test_every_window_at_the_largest_distance_is_found(n):
+    r = random.Random(n)
+    items = [[f"v{r.randrange(3000)}" for _ in range(n)] for _ in range(40)]
+    most = decontaminate.edits_allowed(n, 0.8)
+    texts = []
+    for k, item in enumerate(items):
+        w = list(item)
+        moved = most // 2 if k % 2 else 0  # a deletion and an insertion each; the length stays
+        for at in r.sample(range(n), most - 2 * moved):
+            w[at] = "new"
+        for _ in range(moved):
+            del w[r.randrange(n)]
+            w.insert(r.randrange(n), "more")
+        texts.append(" ".join(["before"] * r.randrange(9) + w + ["after"] * n))
+    held = decontaminate.Benchmark(list(range(40)), [" ".join(x) for x in items], 0.8)
+    found = {(int(d), int(i)) for row, item, *_ in held.search(Words(*string_bytes(pa.array(texts)))) for d, i in zip(row, item, strict=True)}
+    assert {(k, k) for k in range(40)} <= found
+
+
 def test_blocks_of_items_find_the_same(spark, frame, monkeypatch):
     r = random.Random(2)
     items = [(k, " ".join(f"u{r.randrange(500)}" for _ in range(12))) for k in range(20)]

@@ -1,13 +1,8 @@
 """Benchmark decontamination: edit-distance search for benchmark items in documents.
 
 A document leaks an item of n words if one of its item-sized windows (n consecutive words, or what is left at its end) is within
-``(1 - similarity) * n`` word edits of the item. The CGK random walk embeds windows and items so that edit distance becomes Hamming
-distance: 3 n steps, each writing the current word and moving on or staying as a random function of step and word says. Each of
-``REPEATS`` walks samples ``SAMPLED`` positions of the embedding as an LSH key; a window whose key equals an item's is verified by its
-exact edit distance.
-
-Before that, windows that share too few word q-grams with any one item to be within the distance are left out; by the q-gram lemma
-that loses nothing, and it leaves few windows to embed.
+``(1 - similarity) * n`` word edits of the item. Windows that share too few word q-grams with an item to be within the distance are
+left out; by the q-gram lemma that loses nothing. Every other pair of window and item is verified by its exact edit distance.
 """
 
 from __future__ import annotations
@@ -24,12 +19,12 @@ from .kernel import Words, documents, pieces, slices, string_bytes, text_bytes,
 SIMILARITY = 0.8
 #: Items with fewer words can't be told from common phrases and are not searched for.
 LEAST_WORDS = 5
-REPEATS = 16
-SAMPLED = 2
 #: Text bytes of the items that are sent to the tasks at a time; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 16 << 20
 #: Text bytes that are searched at a time: each item length costs a few calls per slice, so larger ones are cheaper.
 SEARCH_BYTES = 2 << 20
+#: Words of windows that are compared with items at a time.
+COMPARED_WORDS = 1 << 20
 
 _OUT = "__id long, item_id long, distance int, start_word long, n_words int"
 
@@ -46,29 +41,6 @@ def _qgram(n: int, k: int) -> tuple[int, int]:
     return 1, 1
 
 
-def _bit(words: np.ndarray, repeat: int, step: int) -> np.ndarray:
-    h = (words ^ np.uint64((repeat * 1009 + step + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(63)).astype(np.int64)
-
-
-def _sampled(n: int, repeat: int, sampled: int) -> np.ndarray:
-    return np.sort(np.random.default_rng([n, repeat]).choice(3 * n, min(sampled, 3 * n), replace=False))
-
-
-def cgk_keys(rows: np.ndarray, lengths: np.ndarray, n: int, repeat: int, sampled: int = SAMPLED) -> np.ndarray:
-    """LSH key of each row (word hashes padded with 0 to n + 1 columns) by one walk."""
-    at = np.zeros(len(rows), np.int64)
-    line = np.arange(len(rows))
-    wanted = _sampled(n, repeat, sampled)
-    key = np.zeros(len(rows), np.uint64)
-    for step in range(int(wanted[-1]) + 1):
-        word = rows[line, at]
-        if step in wanted:
-            key = (key ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)
-        at = np.minimum(at + _bit(word, repeat, step), lengths)
-    return key
-
-
 def edit_distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Levenshtein distance of each padded row of a (of la words) and the row of b of n words."""
     j = np.arange(n + 1)
@@ -84,7 +56,7 @@ def edit_distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, n: int) -> np.n
 
 
 class Benchmark:
-    """Items by length, their q-grams and their LSH keys."""
+    """Items by length, and their q-grams."""
 
     def __init__(self, ids: list[int], texts: list[str | None], similarity: float):
         data, offsets = string_bytes(pa.array([t or "" for t in texts], pa.string()))
@@ -101,24 +73,23 @@ class Benchmark:
             q, need = _qgram(n, k)
             rows = np.zeros((len(items), n + 1), np.uint64)
             rows[:, :n] = [x for _, x in items]
-            for _, x in items:
-                grams.setdefault(q, []).append((n, need, np.unique(windows(x, np.zeros(n, np.int64), q)[0])))
-            keys = [cgk_keys(rows, np.full(len(items), n), n, r) for r in range(REPEATS)]
-            self.lengths[n] = (k, q, need, np.array([i for i, _ in items]), rows, [(np.sort(x), np.argsort(x, kind="stable")) for x in keys])
+            for row, (_, x) in enumerate(items):
+                grams.setdefault(q, []).append((n, need, np.unique(windows(x, np.zeros(n, np.int64), q)[0]), row))
+            self.lengths[n] = (k, np.array([i for i, _ in items]), rows)
         self.grams = {}
         for q, x in grams.items():
-            every = np.concatenate([g for *_, g in x])
-            holder = np.repeat(np.arange(len(x)), [len(g) for *_, g in x])
+            every = np.concatenate([g for _, _, g, _ in x])
+            holder = np.repeat(np.arange(len(x)), [len(g) for _, _, g, _ in x])
             order = np.argsort(every, kind="stable")
             own, at = np.unique(every[order], return_index=True)
             size = 1 << max(16, (32 * len(own) - 1).bit_length())
             table = np.zeros(size, bool)
             table[own & np.uint64(size - 1)] = True
-            self.grams[q] = (own, np.append(at, len(every)), holder[order], np.array([n for n, *_ in x]), np.array([m for _, m, _ in x]), table)
+            self.grams[q] = (own, np.append(at, len(every)), holder[order], np.array([n for n, *_ in x]), np.array([m for _, m, *_ in x]), np.array([row for *_, row in x]), table)
 
-    def candidates(self, h: np.ndarray, words: Words, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """(item length, first word) of the windows that share enough q-grams with some item of that length."""
-        own, cuts, holder, size, need, table = self.grams[q]
+    def candidates(self, h: np.ndarray, words: Words, q: int) -> tuple[np.ndarray, ...]:
+        """(item length, item among those of its length, first word) of the windows that share enough q-grams with the item."""
+        own, cuts, holder, size, need, row, table = self.grams[q]
         g, whole = windows(h, words.doc, q)
         at = np.flatnonzero(table[g & np.uint64(len(table) - 1)] & whole)
         index = np.minimum(np.searchsorted(own, g[at]), len(own) - 1)
@@ -143,8 +114,8 @@ class Benchmark:
         low = np.maximum(low, previous + 1)
         count = np.maximum(0, first - low + 1)
         start = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        both = np.unique(np.repeat(size[item], count) * (len(h) + 1) + start)
-        return both // (len(h) + 1), both % (len(h) + 1)
+        item = np.repeat(item, count)
+        return size[item], row[item], start
 
     def search(self, words: Words) -> Iterator[tuple[np.ndarray, ...]]:
         """Verified (row, item, distance, first word within the row, words of the item)."""
@@ -154,32 +125,22 @@ class Benchmark:
         for q in self.grams:
             if total < q:
                 continue
-            length, start = self.candidates(h, words, q)
+            length, which, start = self.candidates(h, words, q)
             for n in np.unique(length).tolist():
-                k, _, _, ids, rows, keys = self.lengths[n]
-                begin = start[length == n]
+                k, ids, rows = self.lengths[n]
+                begin, item = start[length == n], which[length == n]
                 size = np.minimum(n, last[begin] - begin)
-                begin, size = begin[size >= n - k], size[size >= n - k]
-                for lo in range(0, len(begin), 20_000):
-                    s, z = begin[lo:lo + 20_000], size[lo:lo + 20_000]
-                    column = np.arange(n + 1)
+                whole = size >= n - k
+                begin, item, size = begin[whole], item[whole], size[whole]
+                column, each = np.arange(n + 1), max(1, COMPARED_WORDS // (n + 1))
+                for lo in range(0, len(begin), each):
+                    s, i, z = begin[lo:lo + each], item[lo:lo + each], size[lo:lo + each]
                     w = np.where(column < z[:, None], h[np.minimum(s[:, None] + column, total - 1)], np.uint64(0))
-                    pairs = []
-                    for r, (sorted_, order) in enumerate(keys):
-                        key = cgk_keys(w, z, n, r)
-                        a, b = np.searchsorted(sorted_, key, "left"), np.searchsorted(sorted_, key, "right")
-                        hit = np.flatnonzero(b > a)
-                        each = (b - a)[hit]
-                        pick = np.repeat(a[hit], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                        pairs.append(np.repeat(hit, each) * len(ids) + order[pick])
-                    pairs = np.unique(np.concatenate(pairs))
-                    for p in range(0, len(pairs), 20_000):
-                        line, item = np.divmod(pairs[p:p + 20_000], len(ids))
-                        d = edit_distances(w[line], z[line], rows[item], n)
-                        ok = d <= k
-                        if ok.any():
-                            at = s[line[ok]]
-                            yield words.doc[at], ids[item[ok]], d[ok], at - words.first[words.doc[at]], np.full(ok.sum(), n)
+                    d = edit_distances(w, z, rows[i], n)
+                    ok = d <= k
+                    if ok.any():
+                        at = s[ok]
+                        yield words.doc[at], ids[i[ok]], d[ok], at - words.first[words.doc[at]], np.full(ok.sum(), n)
 
 
 def leaks(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -188,8 +149,7 @@ def leaks(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "
 
     Words are maximal runs of other than white space, A-Z lower-cased. Whole documents are searched, map-only; repeated rows with one
     id count as one document. Null and empty texts leak nothing, items of fewer than LEAST_WORDS words and with a null id are not
-    searched for, rows with a null doc_id are not reported. Other columns are not read. Recall on windows at the distance allowed is
-    a matter of the LSH (REPEATS, SAMPLED); nearer ones are found almost surely.
+    searched for, rows with a null doc_id are not reported. Other columns are not read. Every window within the distance is found.
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).where("__id IS NOT NULL AND __text IS NOT NULL")
