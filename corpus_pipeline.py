@@ -46,7 +46,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of about 0.8), the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (narrow fingerprints, or five-word shingle sets of a similarity of 0.8), the one with the smallest doc_id."""
     return _without(docs, simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id"))
 
 

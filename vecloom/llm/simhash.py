@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, Words, checkpointed, documents, mix64, pieces, slices, string_bytes, text_bytes, windows
+from .kernel import LOWER, Words, checkpointed, documents, mix64, pieces, slices, staged, string_bytes, text_bytes, windows
 
 SHINGLE = 3
 SEED = 42
@@ -452,7 +452,7 @@ def all_pairs(shared: DataFrame) -> DataFrame:
 def similar(df: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Those pairs (a, b) whose sets of five-word shingles have a Jaccard similarity of SIMILAR at least, by the sets themselves."""
     ids = pairs.select(F.col("a").alias("__i")).union(pairs.select("b")).distinct()
-    sets = checkpointed(shingle_arrays(df.join(ids, F.col(doc_id).cast("long") == ids["__i"], "left_semi"), doc_id, text))
+    sets = shingle_arrays(df.join(ids, F.col(doc_id).cast("long") == ids["__i"], "left_semi"), doc_id, text)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.where(f"{sum(SIMILAR)}L * size(array_intersect(x, y)) >= {SIMILAR[0]}L * (size(x) + size(y))").select("a", "b").distinct()
 
@@ -464,12 +464,12 @@ def similar_links(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text:
     one of them, in rounds with another one each, so that large clusters are linked by few comparisons; then all pairs are that share
     one and aren't connected yet.
     """
-    shared, links_ = checkpointed(shared_shingles(df, doc_id, text)), checkpointed(known)
+    shared, links_ = staged(shared_shingles(df, doc_id, text), "shared"), checkpointed(known)
     for k in range(STAR_ROUNDS + 1):
         roots = connected(links_)
         shared = shared.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         tokens = shared.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.expr(_smaller("n", "at"))).alias("any")).where("r < s AND any").select("token")
-        shared = checkpointed(shared.join(tokens, "token", "left_semi"))
+        shared = staged(shared.join(tokens, "token", "left_semi"), "shared")
         if shared.isEmpty():
             break
         if k < STAR_ROUNDS:
