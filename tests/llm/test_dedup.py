@@ -241,6 +241,39 @@ def test_substring_dedup(frame, corpus, size):
     assert sorted(map(tuple, substring_dedup.remove_repeats(frame(data), window=size).collect()), key=str) == brute_removed(data, size)
 
 
-def test_substring_dedup_without_rows(frame):
-    assert substring_dedup.remove_repeats(frame([])).count() == 0
-    assert [tuple(r) for r in substring_dedup.remove_repeats(frame([(1, None)]), keep_text=True).collect()] == brute_removed([(1, None)])
+@pytest.mark.parametrize("data", [
+    [(1, " ".join(f"a{i}" for i in range(20)))], [(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(30)))],
+    [(1, " ".join(["again"] * 60))], [(2, " ".join(f"a{i}" for i in range(20))), (1, " ".join(f"a{i}" for i in range(20)))],
+    [(7, " ".join(f"a{i}" for i in range(20)))] * 3 + [(7, " ".join(f"c{i}" for i in range(20))), (None, " ".join(f"c{i}" for i in range(20)))], [(1, None)], []])
+def test_substring_dedup_of_few_rows(frame, data):
+    assert sorted(map(tuple, substring_dedup.remove_repeats(frame(data)).collect()), key=str) == brute_removed(data)
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_substring_dedup_tells_regular_words_apart(frame):
+    """Thue-Morse words collide under any polynomial hash modulo a power of two, as letters of a word and as words of a window."""
+    start = [f"s{i}" for i in range(12)]
+    x, y = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    data = [(1, " ".join([*start, x])), (2, " ".join([*start, y])), (3, " ".join(thue_morse(4096, "a", "b"))), (4, " ".join(start + thue_morse(4096, "b", "a")))]
+    assert sorted(map(tuple, substring_dedup.remove_repeats(frame(data)).collect()), key=str) == brute_removed(data)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(frame(data), window=16).collect()), key=str) == brute_removed(data, 16)
+
+
+def test_substring_dedup_by_merged_runs(frame, corpus, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FAN", 4)
+    monkeypatch.setattr(substring_dedup, "HELD_KEYS", 2000)
+    data = corpus + [(None, corpus[10][1]), (50, corpus[12][1]), (50, corpus[12][1]), (2**40, corpus[30][1])]
+    assert sorted(map(tuple, substring_dedup.remove_repeats(frame(data)).collect()), key=str) == brute_removed(data)
+
+
+def test_digests_have_two_halves():
+    from vecloom.llm import kernel
+
+    words = kernel.Words(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]))
+    first, second = words.digests()
+    assert len(set(first.tolist())) == len(set(second.tolist())) == 4 and not set(first.tolist()) & set(second.tolist())
+    run = {"key": np.array([5, 5, 5, 9], np.uint64), "rest": np.array([1, 1, 2, 2], np.uint64)}
+    assert substring_dedup._groups(run).tolist() == [0, 2, 3]

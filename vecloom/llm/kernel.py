@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
-_BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
+#: Words of up to this many bytes are told apart exactly before they are hashed; longer ones by 120 bits of XXH3.
+SHORT_WORD = 15
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -36,19 +36,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """1, base, base², … modulo 2^64, at least n of them."""
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        table = np.full(size, base, dtype=np.uint64)
-        table[0] = 1
-        table = np.multiply.accumulate(table)
-        if n <= 2 * SLICE_BYTES:
-            _powers[base] = table
-    return table
-
-
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows in them; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -99,15 +86,29 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (A-Z lower-cased on demand)."""
+    def _halves(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that stand for each word: its bytes and their number, or a digest of a long word."""
         n = len(self.data)
-        if not n:
-            return np.zeros(0, np.uint64)
-        sums = np.empty(n + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE[LOWER[self.data] if lower else self.data] * _power(_BASE, n + 1)[:n], out=sums[1:])
-        return mix64((sums[self.ends] - sums[self.starts]) * _power(_INVERSE, n + 1)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        padded = np.zeros(n + 16, np.uint8)
+        padded[:n] = LOWER[self.data] if lower else self.data
+        eight = np.ndarray(n + 9, "<u8", padded, 0, (1,))  # the eight bytes from each byte on
+        size = self.ends - self.starts
+        low = eight[self.starts] & _MASK[np.minimum(size, 8)]
+        high = eight[self.starts + np.minimum(size, 8)] & _MASK[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+        for i in np.flatnonzero(size > SHORT_WORD).tolist():
+            d = xxhash.xxh3_128_intdigest(padded[self.starts[i]:self.ends[i]])
+            low[i], high[i] = d & (1 << 64) - 1, d >> 64 | 0xFF << 56
+        return low, high
+
+    def digests(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each word's bytes (A-Z lower-cased on demand)."""
+        low, high = self._halves(lower)
+        return (mix64(mix64(low + np.uint64(0x9E3779B97F4A7C15)) ^ high * np.uint64(0xD6E8FEB86659FD93)),
+                mix64(mix64(high + np.uint64(0xC2B2AE3D27D4EB4F)) ^ low * np.uint64(0xFF51AFD7ED558CCD)))
+
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        """The first of them."""
+        return self.digests(lower)[0]
 
     def kept(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and row offsets of each row's kept words, joined by one space."""
@@ -127,16 +128,28 @@ class Words:
         return out[mask], total[self.offsets]
 
 
+def _sequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of what a and b stand for, one after the other."""
+    return mix64(a * np.uint64(0xD6E8FEB86659FD93) + (b ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB))
+
+
 def windows(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of ``size`` consecutive word hashes, and whether the run stays within one row."""
+    """Hash of every run of ``size`` consecutive word hashes, and whether the run stays within one row.
+
+    Runs are put together from runs of powers of two, mixed at each step: a sum of multiples would let regular word orders collide.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = words[size - 1:].copy()
-    for j in range(size - 2, -1, -1):
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h += words[j:j + n]
-    return mix64(h), doc[:n] == doc[size - 1:]
+    power, length, at, out = words, 1, 0, None
+    while length <= size:
+        if size & length:
+            out = power[at:at + n] if out is None else _sequence(out, power[at:at + n])
+            at += length
+        if 2 * length <= size:
+            power = _sequence(power[:-length], power[length:])
+        length *= 2
+    return out, doc[:n] == doc[size - 1:]
 
 
 def pack(sorted_keys: np.ndarray) -> bytes:

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_chat_format": chat_format.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_url_filter": url_filter.ORACLE_SQL,
