@@ -30,24 +30,42 @@ def test_oracles(spark, sf_dir):
 
 
 def brute_chats(rows):
+    """Turns of each conversation in order; rows without a conversation are one each."""
     out = {}
-    for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
-        out.setdefault(c, []).append((r or "", x or ""))
+    for k, (c, t, r, x) in enumerate(sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))):
+        out.setdefault((c, k if c is None else 0), []).append((r or "", x or ""))
     return out
 
 
 def test_chats_read_back(spark):
     nasty = ["\\", "\\\\", "<|", "<\\|", "<|end|>", "<|turn|>user<|text|>hi", "a<", "|>", "<\\\\|", "é😀\n", "", None, "\\<|\\", "<<||"]
-    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(nasty)] + [(2, 0, "assistant", "first"), (2, 0, "assistant", "first"), (2, None, "sys<|tem", "x"), (None, 1, None, "lost"), (3, 0, "user", "no reply")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", F.lit(1)).withColumn("formatted", F.lit("x")).withColumn("turns", F.lit(0))
-    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
-    for c, turns in brute_chats(rows).items():
-        assert [tuple(t) for t in got[c].turns] == turns
-        assert got[c].targets == [x for r, x in turns if r == "assistant"]
-        assert all(got[c].formatted[e.context_end:].startswith(got[c].formatted[e.target_start:e.target_end] + "<|end|>") for e in got[c].examples)
-    made = chat_format.examples(chat_format.format_chats(df)).where("conv_id = 2").orderBy("example").collect()
-    assert [r.target for r in made] == ["first", "first"] and made[1].context.startswith(made[0].context + "first<|end|>")
-    assert chat_format.format_chats(df.where("false")).count() == 0
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(nasty)] + [(2, 0, "assistant", "first"), (2, 0, "assistant", "first"), (2, None, "sys<|tem", "x")]
+    rows += [(None, 1, None, "lost"), (None, 1, None, "lost"), (None, 2, "assistant", "lost <| too"), (3, 0, "user", "no reply")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({c: F.lit("x") for c in ("piece", "formatted", "turns", "position", "begin", "r", "t", "head", "size", "alone", "target")})
+    made = chat_format.format_chats(df)
+    got = sorted(((r.conv_id, [tuple(t) for t in r.turns], r.targets) for r in chat_format.read_back(made).collect()), key=str)
+    want = sorted(((c, turns, [x for r, x in turns if r == "assistant"]) for (c, _), turns in brute_chats(rows).items()), key=str)
+    assert got == want
+    whole = {r.conv_id: r.formatted for r in chat_format.conversations(made).where("conv_id IS NOT NULL").collect()}
+    found = chat_format.examples(made).collect()
+    assert len(found) == sum(len(t) for *_, t in want)
+    for e in found:
+        if not e.alone:
+            assert whole[e.conv_id][e.target_start:e.target_end] == e.target and whole[e.conv_id][e.target_end:].startswith("<|end|>") and e.context_end == e.target_start
+    written = chat_format.with_context(made).orderBy("conv_id", "position").collect()
+    assert len(written) == len(found) and all(whole[r.conv_id].startswith(r.context + r.target + "<|end|>") for r in written if r.conv_id is not None)
+    two = [r for r in written if r.conv_id == 2]
+    assert [r.target for r in two] == ["first", "first"] and two[1].context.startswith(two[0].context + "first<|end|>")
+    assert [r.context + r.target for r in written if r.conv_id is None] == ["<|turn|>assistant<|text|>lost <\\| too"]
+    assert made.where("false").count() == chat_format.read_back(chat_format.format_chats(df.where("false"))).count() == 0
+
+
+def test_a_conversation_of_many_turns(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    r = chat_format.read_back(chat_format.format_chats(df)).first()
+    assert len(r.turns) == n and r.targets == [f"t{i}" for i in range(1, n, 2)] and r.turns[-1].text == f"t{n - 1}"
 
 
 def test_url_parts(spark):
