@@ -44,9 +44,19 @@ def test_exact_groups_odd_rows(frame):
     assert exact_dedup.exact_groups(frame([])).count() == 0
 
 
-def test_small_memtables_and_ranges(frame, corpus, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 5)
-    assert sorted(map(tuple, exact_dedup.exact_groups(frame(corpus, 1)).collect()), key=str) == brute_exact(corpus)
+@pytest.mark.parametrize("broadcast", [0, 1 << 17])
+def test_exact_groups_of_null_ids_that_collide(frame, monkeypatch, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", broadcast)
+    data = [(None, "a"), (None, "b"), (None, "b"), (4, "b"), (4, "c"), (4, "c  d"), (5, "c d")]
+    same = lambda norm: F.when(norm.isNotNull(), F.lit("0" * 64))
+    assert sorted(map(tuple, exact_dedup.exact_groups(frame(data), digest=same).collect()), key=str) == brute_exact(data)
+
+
+def test_hundreds_of_runs(frame, corpus, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 1)
+    data = [(3 * i, f"text {i % 400}") for i in range(900)] + [(3 * i + 1, f"lone {i}") for i in range(100)] + corpus
+    rows = frame(data, 6)
+    assert sorted(map(tuple, exact_dedup.exact_groups(rows).collect()), key=str) == brute_exact(data)
 
 
 def fingerprint(t, k=3):

@@ -1,10 +1,14 @@
 """Exact dedup with a log-structured merge index of text digests.
 
 A task fills a memtable (digest -> smallest identifier, rows); when it is full it is flushed as sorted runs, one per digest range,
-each with a Bloom filter over its digests. Compaction takes all runs of a range: a digest that no other run's filter admits is
-settled at once, the others are merged, keeping the smallest identifier. Only digests with more than one row leave the index.
-A row whose digest is in it is a hit, and hits are verified: their normalised bytes are compared with those of the row that stays,
-and rows that differ (a digest collision) are grouped by their bytes instead.
+each with a Bloom filter over its digests. Compaction of a range goes level by level: ``FAN_IN`` runs at a time become one, keeping
+the smallest identifier, until no more than that are left; of those, a digest that no other run's filter admits is settled at once,
+and only the others are merged. Only digests with more than one row leave the index. Every entry is merged once a level, so the work
+is in proportion to the entries times the logarithm of the runs.
+
+A row whose digest is in the index is a hit, and hits are verified: the normalised bytes of all rows of a digest are compared, and
+where they differ (a digest collision) rows are grouped by their bytes instead. Each task sends the least and the greatest text of a
+digest, which are equal if and only if all are, so a text that many rows share travels once per task.
 """
 
 from __future__ import annotations
@@ -16,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import checkpointed, documents, pieces, staged
+from .kernel import checkpointed, documents, pieces
 
-MEMTABLE_ROWS = 200_000
+MEMTABLE_ROWS = 500_000
 RANGE_ROWS = 1 << 20
+#: Runs that are merged into one at a time.
+FAN_IN = 8
+#: Digests of the index that are broadcast at most (32 bytes each) to find the hits; more are joined by a shuffle.
+BROADCAST_DIGESTS = 1 << 17
 FILTER_BITS = 12
 FILTER_HASHES = 4
 _NONE = np.iinfo(np.int64).max
@@ -100,6 +108,10 @@ def duplicate_index(digests: DataFrame, total: int) -> DataFrame:
         for batch in table.select(_RUN_ARROW.names[1:]).to_batches():
             for n, d, i, c, f in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
                 runs.append((np.frombuffer(d, np.uint8).reshape(n, 32), np.frombuffer(i, np.int64), np.frombuffer(c, np.int64), f))
+        while len(runs) > FAN_IN:
+            merged = [_merged(*(np.concatenate(x) for x in zip(*(r[:3] for r in runs[k:k + FAN_IN]), strict=True))) for k in range(0, len(runs), FAN_IN)]
+            last = len(merged) <= FAN_IN
+            runs = [(*r, _filter(r[0]) if last else b"") for r in merged]
         rest = []
         for k, (d, i, c, _) in enumerate(runs):
             open_ = c > 1
@@ -125,24 +137,22 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
     """
     norm = normalised(text)
     rows = checkpointed(df.select(F.col(doc_id).cast("long").alias("id"), F.unhex(digest(norm)).alias("digest"), F.sha2(norm, 256).alias("text_sha256")))
-    total = rows.count()
-    index = duplicate_index(rows, total)
-    found = checkpointed(rows.join(index, "digest", "left").select("id", "digest", "text_sha256", "keep_id", "group_size"))
-    hits = found.where("group_size > 1")
-
-    # every hit's bytes against those of the row that stays
-    wanted = hits.select("id", "digest", "keep_id").distinct()
-    texts = df.select(F.col(doc_id).cast("long").alias("id"), norm.alias("norm"))
-    held = staged(texts.where("id IS NOT NULL").join(wanted.where("id IS NOT NULL"), "id").where(F.unhex(digest(F.col("norm"))) == F.col("digest")), "hits")
-    stays = held.where("id = keep_id").select(F.col("digest").alias("digest_"), F.col("norm").alias("norm_")).distinct()
-    differ = held.join(stays, F.col("digest") == F.col("digest_")).where("norm <> norm_").select("digest")
-    bad = checkpointed(differ)  # not made distinct here: that would keep Spark from splitting a join on a digest that many share
-    result = found
+    index = checkpointed(duplicate_index(rows, rows.count()))
+    n = index.count()
+    sent = F.broadcast if n <= BROADCAST_DIGESTS else lambda x: x
+    result = rows.join(sent(index), "digest", "left").select("id", "digest", "text_sha256", "keep_id", "group_size")
+
+    # the bytes of all rows of a digest, whatever their identifiers
+    texts = df.select(F.col(doc_id).cast("long").alias("id"), norm.alias("norm"), F.unhex(digest(norm)).alias("digest"))
+    hits = texts.join(sent(index.select("digest")), "digest", "left_semi")
+    # by another key than a shuffled join has, so that Spark may split the join where many rows share a digest
+    ends = hits.groupBy(F.hex("digest").alias("hex")).agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    bad = checkpointed(ends.where("least <> greatest").select(F.unhex("hex").alias("digest")))
     if not bad.isEmpty():  # collisions: these digests are grouped by their bytes
-        again = df.select(F.col(doc_id).cast("long").alias("id"), norm.alias("norm"), F.sha2(norm, 256).alias("text_sha256")).withColumn("digest", F.unhex(digest(F.col("norm")))).join(bad, "digest", "left_semi")
+        again = texts.withColumn("text_sha256", F.sha2("norm", 256)).join(bad, "digest", "left_semi")
         groups = again.groupBy("norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         again = again.join(groups, "norm").select("id", "digest", "text_sha256", "keep_id", "group_size")
-        result = found.join(bad, "digest", "left_anti").unionByName(again)
+        result = result.join(bad, "digest", "left_anti").unionByName(again)
     return result.select(
         F.col("id").alias(doc_id),
         F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"),
