@@ -63,9 +63,12 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """Word boundaries of some rows: starts, ends (byte positions), doc (row of each word)."""
+    """Word boundaries of some rows: starts, ends (byte positions), doc (row of each word).
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    With ``single`` each character of a script that is written without spaces is a word: U+0E00 to U+0EFF, U+3000 to U+9FFF.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, single: bool = False):
         self.data, self.offsets = data, offsets
         n = len(data)
         inner = ~_SPACE[data]
@@ -77,6 +80,12 @@ class Words:
             full = offsets[:-1] < offsets[1:]
             first[offsets[:-1][full]] = True
             last[offsets[1:][full] - 1] = True
+            if single and (high := np.flatnonzero(data >= 0xE0)).size:
+                lead = data[high]
+                lead = high[(lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xE0) & (data[np.minimum(high + 1, n - 1)] >= 0xB8) & (data[np.minimum(high + 1, n - 1)] <= 0xBB)]
+                first[lead] = last[lead + 2] = True
+                last[lead[lead > 0] - 1] = True
+                first[(lead + 3)[lead + 3 < n]] = True
         self.starts = np.flatnonzero(inner & first)
         self.ends = np.flatnonzero(inner & last) + 1
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
