@@ -100,18 +100,83 @@ def test_quality_odd_rows(spark, frame, corpus):
     assert kept.columns == frame(corpus).columns and kept.count() == sum(r.predicted for r in quality.score(frame(corpus), chain).collect())
 
 
-def test_chain_marginals_are_those_of_all_paths():
+@pytest.mark.parametrize("block", [256, 2, 1])
+def test_chain_marginals_are_those_of_all_paths(monkeypatch, block):
+    monkeypatch.setattr(quality, "CHAIN_LINES", block)
     r = np.random.default_rng(3)
-    chain = quality.Chain(r.normal(size=4), r.normal(size=(2, 2)))
-    features, first = r.normal(size=(7, 4)), np.array([0, 4, 5, 7])
-    got = chain.marginals(features, first)
+    chain = quality.Chain(np.ones(1), r.normal(size=(2, 2)))
+    z, first = r.normal(size=14), np.array([0, 4, 5, 7, 14])
+    got, pairs = chain.marginals(z, first, pairs=True)
+    expected = np.zeros((2, 2))
     for a, b in zip(first[:-1], first[1:], strict=True):
-        weights = np.zeros((b - a, 2))
+        weights, joint = np.zeros((b - a, 2)), np.zeros((2, 2))
         for path in np.ndindex(*[2] * (b - a)):
-            s = sum(features[a + t] @ chain.weights * path[t] for t in range(b - a)) + sum(chain.transitions[p, q] for p, q in zip(path[:-1], path[1:], strict=True))
+            s = np.exp(sum(z[a + t] * path[t] for t in range(b - a)) + sum(chain.transitions[p, q] for p, q in zip(path[:-1], path[1:], strict=True)))
             for t, p in enumerate(path):
-                weights[t, p] += np.exp(s)
+                weights[t, p] += s
+            for p, q in zip(path[:-1], path[1:], strict=True):
+                joint[p, q] += s
+        expected += joint / weights[0].sum()
         assert np.allclose(got[a:b], weights[:, 1] / weights.sum(axis=1))
+    assert np.allclose(pairs, expected)
+
+
+def brute_features(text):
+    """Features of each line of a text, by its characters' bytes."""
+    raw = (text or "").encode()
+    lines = raw.split(b"\n")
+    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", x) for x in lines]
+    own = []
+    for x, w in zip(lines, split, strict=True):
+        size, some = max(1, len(x)), max(1, len(w))
+        lower, upper, digit = (sum(a <= c <= b for c in x) for a, b in ((97, 122), (65, 90), (48, 57)))
+        other, space, pipe, point = sum(c >= 128 for c in x), sum(c in b" \t\n\x0b\x0c\r" for c in x), x.count(b"|"), sum(c in b".,;:'\"()-?" for c in x)
+        symbol = len(x) - lower - upper - digit - other - space - pipe - point
+        own.append([1, np.log1p(len(x)) / 5, upper / max(1, lower + upper + other), digit / size, min(1, 8 * pipe / size), min(1, 4 * symbol / size), min(1, 4 * x.count(b"!") / size),
+                    (size - space) / some / 10, sum(p == q for p, q in zip(w, w[1:], strict=False)) / some, other / size, point / some, bool(w) and split.count(w) > 1, len(w) <= 1, 1 - len(set(w)) / some])
+    blank = [0] * quality.OWN
+    return [len(x) for x in lines], [[*o, *(own[i - 1] if i else blank), *(own[i + 1] if i + 1 < len(own) else blank)] for i, o in enumerate(own)]
+
+
+def brute_score(text, chain):
+    sizes, features = brute_features(text)
+    z, step = [float(np.dot(f, chain.weights)) for f in features], np.exp(chain.transitions)
+    z = np.clip(z, -600, 600).tolist()
+    alpha, beta = [np.exp([0, z[0]])], [np.ones(2)]
+    for x in z[1:]:
+        a = np.exp([0, x]) * (alpha[-1] @ step)
+        alpha.append(a / a.sum())
+    for x in z[:0:-1]:
+        b = step @ (np.exp([0, x]) * beta[0])
+        beta.insert(0, b / b.sum())
+    good = [(a * b)[1] / (a * b).sum() for a, b in zip(alpha, beta, strict=True)]
+    mean = np.clip(sum((s + 1e-3) * g for s, g in zip(sizes, good, strict=True)) / sum(s + 1e-3 for s in sizes), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-np.clip(chain.slope * np.log(mean / (1 - mean)) + chain.offset, -30, 30)))
+
+
+def test_quality_scores_are_those_of_brute_force(frame, corpus, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_LINES", 7)
+    monkeypatch.setattr(quality, "CHAIN_LINES", 5)
+    r = np.random.default_rng(8)
+    chain = quality.Chain(r.normal(size=3 * quality.OWN) / 3, r.normal(size=(2, 2)), 1.3, -0.2)
+    odd = ["\n", "\n\n", "a\n\nb b\n", "\n".join(["same line", "other!!", "same  line", "x|y|z", "ÄÖ é", "1 2 3"] * 9), "no break", "\n" * 40 + "end"]
+    data = corpus + list(enumerate(odd))
+    want = [brute_score(t, chain) for _, t in data]
+    got = {x.doc_id: x.score for x in quality.score(frame(data), chain).collect()}
+    assert np.allclose([got[i] for i, _ in data], want, atol=1e-8)
+    assert np.allclose(chain.scores(quality.Lines(*string_bytes(pa.array([t for _, t in data])))), want, atol=1e-8)
+
+
+def test_many_line_breaks_take_little_memory():
+    import tracemalloc
+
+    text = np.full(2 << 20, 0x0A, np.uint8)
+    chain = quality.Chain(np.ones(3 * quality.OWN), np.zeros((2, 2)))
+    tracemalloc.start()
+    chain.scores(quality.Lines(text, np.array([0, len(text)])))
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
 
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
