@@ -3,6 +3,7 @@
 import hashlib
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from vecloom.llm import chat_format, url_filter
@@ -75,21 +76,32 @@ def test_url_parts(spark):
     assert got == [("a.org", "/x"), ("b.com", ""), ("", ""), ("", ""), ("", ""), ("", ""), ("É.com", "/De/"), ("h", ""), ("e.org", ""), ("x.org", "/a\nb")]
 
 
-def test_cascade_is_exact(spark):
-    keys = [f"k{i}" for i in range(3000)]
-    universe = spark.createDataFrame([(k,) for k in keys] + [(None,)], "key string")
-    for listed in (keys[::7], keys[:1], [], keys):
-        levels = url_filter.cascade(universe, spark.createDataFrame([(k,) for k in listed] + [("absent",), (None,)], "key string"))
-        got = {r.key for r in universe.where("key IS NOT NULL").where(url_filter.member(levels, F.col("key"))).collect()}
-        assert got == set(listed)
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_marks_are_exact(spark, most):
+    hosts = [f"h{i}.d{i % 50}.com" for i in range(3000)] + ["", "com", "a.b.c.d.e", ".".join(["x"] * 20_000)]
+    table = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("key", F.lit("k"))
+    for listed in ([f"h{i}.d{i % 50}.com" for i in range(0, 3000, 7)], ["d7.com"], [], ["com", "c.d.e"], ["b.c.d.e", "x.x", "", "h1.d1.com"], hosts[:3000]):
+        marked, by_cascade = url_filter.mark_listed(table, spark.createDataFrame([(k,) for k in listed] + [("absent.org",), (None,)], "key string"), most)
+        got = {r.host for r in marked.where("blocked").collect()}
+        assert got == {h for h in hosts if any(h == k or h.endswith("." + k) for k in listed)}
+        assert by_cascade or not most
+
+
+def test_a_cascade_of_a_million_keys(spark):
+    keys = spark.range(1_400_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), (F.col("id") < 1_000_000).alias("own"))
+    levels = url_filter.cascade(keys.where("own").select("key"), keys.where("NOT own").select("key"))
+    assert keys.where(url_filter.member(levels, F.col("key")) != F.col("own")).count() == 0
+    assert sum(x.bits for x in levels) < 8e6
 
 
 def test_urls_odd_rows(spark):
-    rows = [(1, "http://spam-farm.example.net/x"), (1, "http://spam-farm.example.net/x"), (2, None), (None, "http://a.spam-farm.example.net/de/"), (3, "http://x.com/de/a"), (4, "http://org"), (5, "http://www.example.org/en/12"), (6, "http://notexample.org/es/")]
-    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("h")).withColumn("key", F.lit("k"))
-    got = sorted(((r.page_id or 0, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()), key=str)
-    assert got == sorted([(1, None, "block")] * 2 + [(2, None, "allow"), (0, None, "block"), (3, "com/de/", "block"), (4, None, "allow"), (5, "example.org/en/1", "block"), (6, "org/", "allow")], key=str)
-    assert url_filter.judge_urls(df.where("false")).count() == 0
+    rows = [(1, "http://spam-farm.example.net/x"), (1, "http://spam-farm.example.net/x"), (2, None), (None, "http://a.spam-farm77.example.net/de/"), (3, "http://x.com/de/a"), (4, "http://org"), (5, "http://www.example.org/en/12"), (6, "http://notexample.org/es/"),
+            (7, "http://" + "a." * 8000 + "casino-win5.example.com/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("k") for c in ("host", "key", "blocked", "path", "mark")})
+    got = sorted(((r.page_id or 0, r.rule, r.verdict) for r in url_filter.judge_urls(df, url_filter.listed_domains(spark, 100)).collect()), key=str)
+    assert got == sorted([(1, None, "block")] * 2 + [(2, None, "allow"), (0, None, "block"), (3, "com/de/", "block"), (4, None, "allow"), (5, "example.org/en/1", "block"), (6, "org/", "allow"), (7, None, "block")], key=str)
+    assert url_filter.judge_urls(df.where("false"), url_filter.listed_domains(spark, 1)).count() == 0
+    assert url_filter.listed_domains(spark).count() == 1_800_000
 
 
 def test_pipeline_stages(spark, frame):
