@@ -72,6 +72,53 @@ def test_language_id_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(df, empty).collect()} == {"und"} and language_id.identify(df.where("false"), empty).count() == 0
 
 
+def brute_grams(t, whole=True):
+    """n-grams of 2 to 4 bytes of the lower-cased text, other ASCII than letters being spaces, that touch a word and don't go over its edge by more than one."""
+    raw = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (t or "").encode())
+    return [raw[i:i + k] for k in (2, 3, 4) for i in range(len(raw) - k + 1) if 32 not in raw[i + 1:i + k - 1] and raw[i:i + k].strip(b" ")
+            and not (raw[i] == 32 and raw[i + k - 1] == 32)]
+
+
+def test_language_id_is_that_of_plain_sets(spark, frame, corpus):
+    r = random.Random(3)
+    words = {"xx": ["kal", "mira", "toro", "öst", "ne"], "yy": ["kal", "bent", "zu", "orp", "Ä"], "zz": ["q", "wimp", "tor", "alle"]}
+    text = lambda k: " ".join(r.choice(words[k]) for _ in range(30)) + "".join(r.choice(" abc!1") for _ in range(8))
+    data = [(i, text(k), k) for i, k in enumerate(["xx"] * 60 + ["yy"] * 50 + ["zz"] * 40)] + [(500 + j, t, None) for j, (_, t) in enumerate(corpus)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumns({c: F.lit("x") for c in ("id", "gram", "docs", "h", "score")})
+    model = language_id.train(df)
+    import zlib
+
+    sets, sizes = {}, {}
+    for k in words:
+        learnt = [t for i, t, x in data if x == k and zlib.crc32(str(i).encode()) % 5]
+        docs = Counter(g for t in learnt for g in set(brute_grams(t)))
+        sets[k], sizes[k] = {g for g, n in docs.items() if n >= 2}, len(learnt)
+    own = {k: {int.from_bytes(g, "big") for g in v} for k, v in sets.items()}
+    for j, k in enumerate(model.languages):
+        every = np.array(sorted(set().union(*own.values())), np.uint64)
+        held = (model.answer(every)[:, 0] >> np.uint64(j) & np.uint64(1)).astype(bool)
+        assert own[k] <= set(every[held].tolist())  # and little else
+        assert held.sum() - len(own[k]) <= 0.02 * len(every) + 2
+    for x in language_id.identify(df, model).collect():
+        t = next(t for i, t, _ in data if i == x.doc_id)
+        grams = brute_grams(t)
+        share = {k: sum(g in sets[k] for g in grams) / max(1, len(grams)) for k in words}
+        if not any(c.isalpha() for c in t or ""):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+        else:
+            best = max(share.values())
+            assert share[x.lang_pred] >= best - 0.02 and abs(x.score - share[x.lang_pred]) < 0.03
+
+
+def test_language_id_of_rare_rows(spark):
+    data = [(None, "alpha beta gamma", "en")] * 50 + [(1, "alpha beta gamma", "en")] * 5 + [(7, "delta eps", "fr"), (8, "delta eps", "fr"), (9, "x" * 3_000_000 + " alpha beta", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.train(df)).collect()
+    assert len(got) == len(data) and {r.score for r in got if r.doc_id == 1} == {next(r.score for r in got if r.doc_id is None)}
+    flags = language_id.lettered(*string_bytes(pa.array(["", "1 2", "é", "٣", "日本", "a", "…"])))
+    assert flags.tolist() == [False, False, True, False, True, True, False]
+
+
 def test_sliced_filter_answers_all_languages():
     r = np.random.default_rng(0)
     sets = {f"l{i:02}": r.integers(0, 2**40, 200, dtype=np.uint64) for i in range(70)}
@@ -212,6 +259,55 @@ def test_find_pii(frame, corpus):
     assert pii.find_pii(frame([]), pii.train(frame([]))).count() == 0
 
 
+def brute_em(votes):
+    """Posterior of every candidate by itself: two classes, independent labelers, beliefs worth PRIOR_VOTES votes."""
+    belief = {-1: (0.5, 0.125), 0: (0.375, 0.375), 1: (0.125, 0.5)}
+    q = [1 / (1 + np.exp(-1.5 * sum(v))) for v in votes]
+    for _ in range(pii.ROUNDS):
+        prior = (sum(q) + pii.PRIOR_VOTES / 2) / (len(q) + pii.PRIOR_VOTES)
+        chance = [{(v, c): sum(p if c else 1 - p for x, p in zip(votes, q, strict=True) if x[j] == v) + pii.PRIOR_VOTES * belief[v][c] for v in belief for c in (0, 1)} for j in range(len(votes[0]))]
+        total = [[sum(t[v, c] for v in belief) for c in (0, 1)] for t in chance]
+        odds = [np.log(prior / (1 - prior)) + sum(np.log(t[v, 1] / n[1]) - np.log(t[v, 0] / n[0]) for v, t, n in zip(x, chance, total, strict=True)) for x in votes]
+        q = [1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in odds]
+    return q
+
+
+def test_votes_are_weighed_as_by_brute_force():
+    r = random.Random(9)
+    truth = [r.random() < 0.4 for _ in range(300)]
+    right = (0.95, 0.8, 0.6, 0.55, 0.7, 0.9)
+    votes = [tuple((1 if t == (r.random() < p) else -1) if r.random() < 0.8 else 0 for p in right) for t in truth]
+    model = pii.aggregate_votes(Counter(f"4:1:{','.join(map(str, v))}" for v in votes))
+    q = brute_em(votes)
+    log = [np.log(model.reliability["secret"][np.arange(6), :, np.array(v) + 1]).sum(axis=0) for v in votes]
+    prior = (sum(q) + pii.PRIOR_VOTES / 2) / (len(q) + pii.PRIOR_VOTES)
+    assert np.allclose([1 / (1 + np.exp(-(x[1] - x[0] + np.log(prior / (1 - prior))))) for x in log], q, atol=1e-3)
+    accepted = [model.probability(f"4:1:{','.join(map(str, v))}") >= pii.ACCEPT for v in votes]
+    assert np.mean([a == (p >= 0.5) for a, p in zip(accepted, q, strict=True)]) > 0.95 and np.mean([a == t for a, t in zip(accepted, truth, strict=True)]) > 0.9
+
+
+def test_added_spans_are_those_of_brute_force(frame):
+    """The generator's spans outside the base ones, the earliest first, by a look at every pair of positions; those whose pattern is accepted."""
+    r = random.Random(12)
+    parts = ["key=" + "a1b2" * 9, "tok: " + "Zz9_" * 80, "joe (AT) site dot com", "joe[at]site (dot) com", "2001:db8::ff00:42:8329", "fe80:1:2:3:4:5:6:7", "4111 1111 1111 1112", "call 301 555-0346", "+1 301 555 0346", "a@b.c", "1.2.3.4", "plain words", "std::vector", "x" * 30]
+    texts = [" ".join(r.choice(parts) for _ in range(6)) for _ in range(60)] + parts
+    data = list(enumerate(texts))
+    model = pii.train(frame(data))
+    for row in pii.find_pii(frame(data), model).collect():
+        t, base = texts[row.doc_id], brute_pii(texts[row.doc_id])
+        every = [(a, kind, b) for kind, wide in pii._WIDE for a in range(len(t)) if (m := wide.match(t, a)) for b in (m.end(),)]
+        every = [(a, k, b) for a, k, b in every if not any(x < b and a < y for x, _, y in base) and (k != 4 or (re.search("[0-9]", t[a:b]) and re.search("[A-Za-z]", t[a:b])))]
+        free, added = -1, []
+        for a, k, b in sorted(every):
+            if a >= free:
+                free = b
+                pattern = f"{k}:{min(4, (b - a) // 12)}:" + ",".join(map(str, pii._votes(t, k, a, b)))
+                added += [(a, k, b)] if model.probability(pattern) >= pii.ACCEPT else []
+        assert row.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + added)), t
+    kinds = {s.split(":")[0] for row in pii.find_pii(frame(data), model).collect() for s in row.spans.split(",")}
+    assert {"secret", "email", "ip"} <= kinds
+
+
 def test_long_texts_take_linear_time():
     for t in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+" * 100_000, "+1" + "(" * 100_000, "@" * 100_000, "a@b." * 50_000):
         list(pii.candidates(t, pii.base_spans(t)))

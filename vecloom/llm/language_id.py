@@ -16,15 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, checkpointed, crc_mod, documents, mix64, slices, string_bytes
+from .kernel import LOWER, crc_mod, documents, mix64, slices, string_bytes
 
 #: Training documents per language: about so many are taken by a hash of the identifier.
 TRAIN_DOCS = 2000
-#: n-grams kept per language, the most frequent ones, and the share of its documents that must hold one.
-LANGUAGE_GRAMS = 30_000
+#: Share of a language's training documents that hold an n-gram of the language, and at least so many documents: names and loan words
+#: of single documents say nothing about a language. A documented parameter of the model; all n-grams that reach it are kept.
 LEAST_SHARE = 0.004
+LEAST_DOCS = 2
 SIZES = (2, 3, 4)
-SLOTS = 1 << 20
+#: Slots of the filter per n-gram of the largest language; the number is rounded up to a power of two.
+SLOTS_EACH = 16
 HASHES = 3
 HELD_OUT = 5
 
@@ -58,9 +60,10 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class SlicedFilter:
     """A Bloom filter for up to 64 languages per word: slots[s, w] has bit l of language 64 w + l."""
 
-    def __init__(self, sets: dict[str, np.ndarray], sizes: dict[str, int] | None = None, slots: int = SLOTS, hashes: int = HASHES):
+    def __init__(self, sets: dict[str, np.ndarray], sizes: dict[str, int] | None = None, slots: int = 0, hashes: int = HASHES):
         """``sizes``: training documents of each language; languages are in the order in which they win ties, the largest first."""
         self.languages, self.hashes = sorted(sets, key=lambda name: (-(sizes or {}).get(name, 0), name)), hashes
+        slots = slots or 1 << max(10, (SLOTS_EACH * max(map(len, sets.values()), default=1) - 1).bit_length())
         self.slots = np.zeros((slots, (len(sets) + 63) // 64 or 1), np.uint64)
         for i, name in enumerate(self.languages):
             for at in self._slots(np.asarray(sets[name], np.uint64)):
@@ -96,16 +99,18 @@ class SlicedFilter:
 def train(df: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", fold: int = HELD_OUT) -> SlicedFilter:
     """Learn from text and non-null lang of rows whose crc32(doc_id) mod fold isn't 0.
 
-    The sample is about TRAIN_DOCS rows per language, by a hash of the identifier; all of each text is read. What reaches the
-    driver is at most LANGUAGE_GRAMS n-grams per language.
+    The sample is about TRAIN_DOCS rows per language, by a hash of identifier and text; all of each text is read. What reaches the
+    driver is one row per language and the n-grams that enough of the sample's documents hold: of a text of m distinct n-grams on
+    average no more than m / LEAST_SHARE. Rows that repeat one identifier and text are all in the sample or all not, and count as one
+    document. Columns other than the three named are not read.
     """
     rows = df.where((crc_mod(doc_id, fold) != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return SlicedFilter({})
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, TRAIN_DOCS / n)))])
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
-    sample = rows.where(drawn).select("lang", "text")
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    sample = rows.where(drawn).groupBy("lang", F.xxhash64("id", "text").alias("h")).agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,45 +129,44 @@ def train(df: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
 
     counted = sample.mapInArrow(count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     drawn_docs = {k: max(1.0, min(n, TRAIN_DOCS)) for k, n in sizes.items()}
-    least = F.create_map(*[x for k, n in drawn_docs.items() for x in (F.lit(k), F.lit(max(1.5, LEAST_SHARE * n)))])
-    frequent = checkpointed(counted.where(F.col("docs") >= F.element_at(least, F.col("lang"))))
-    sets = {}
-    for k in sizes:
-        top = frequent.where(F.col("lang") == k).orderBy(F.desc("docs"), "gram").limit(LANGUAGE_GRAMS).select("gram").toArrow()
-        sets[k] = np.asarray(top.column(0).combine_chunks()).astype(np.uint64)
-    return SlicedFilter(sets, sizes)
+    least = F.create_map(*[x for k, n in drawn_docs.items() for x in (F.lit(k), F.lit(max(float(LEAST_DOCS), LEAST_SHARE * n)))])
+    found = counted.where(F.col("docs") >= F.element_at(least, F.col("lang"))).select("lang", "gram").toArrow()
+    names = np.array(found.column("lang").to_pylist(), dtype=object)
+    own = np.asarray(found.column("gram").combine_chunks()).astype(np.uint64) if found.num_rows else np.zeros(0, np.uint64)
+    return SlicedFilter({k: np.sort(own[names == k]) for k in sizes}, sizes)
 
 
-def _has_letter(data: np.ndarray) -> bool:
-    """Whether UTF-8 bytes hold a letter; in most texts the first hundred bytes do."""
-    if _LETTER[data[:100]].any():
-        return True
-    return bool(_LETTER[data].any()) or any(c.isalpha() for c in data.tobytes().decode())
+def lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each row of UTF-8 bytes holds a letter; only rows without an ASCII one are looked at by themselves."""
+    total = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_LETTER[data], out=total[1:])
+    found = total[offsets[1:]] > total[offsets[:-1]]
+    np.cumsum(data >= 0x80, out=total[1:])
+    for i in np.flatnonzero(~found & (total[offsets[1:]] > total[offsets[:-1]])).tolist():
+        found[i] = any(c.isalpha() for c in data[offsets[i]:offsets[i + 1]].tobytes().decode())
+    return found
 
 
 def identify(df: DataFrame, model: SlicedFilter, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row, from its whole text only.
 
     ``score`` is the share of the text's n-grams that the language is found to hold, 0 to 1. A text that is null or has no letter is
-    ``und`` with score 0, as is every text if no language was learnt; ties go to the language with more training documents.
+    ``und`` with score 0, as is every text if no language was learnt; ties go to the language with more training documents. Repeated
+    rows are judged alike; columns other than the two named are not read.
     """
     schema = T.StructType([T.StructField("__id", df.schema[doc_id].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(1))
-            names, scores = [], []
+            best, scores = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             for a, b in slices(offsets, 1 << 19):
                 part, cut = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-                share, total = model.counts(*grams(part, cut), b - a)
-                for i in range(b - a):
-                    if not model.languages or not _has_letter(part[cut[i]:cut[i + 1]]):
-                        names.append("und")
-                        scores.append(0.0)
-                        continue
-                    best = int(np.argmax(share[i]))
-                    names.append(model.languages[best])
-                    scores.append(float(share[i, best]))
+                if model.languages:
+                    share, _ = model.counts(*grams(part, cut), b - a)
+                    best[a:b] = np.where(lettered(part, cut), share.argmax(axis=1), -1)
+                    scores[a:b] = np.where(best[a:b] >= 0, share.max(axis=1), 0.0)
+            names = np.array([*model.languages, "und"], dtype=object)[best]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["__id", "lang_pred", "score"])
 
     return df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__id", doc_id)

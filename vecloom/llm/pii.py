@@ -82,14 +82,16 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 # --- candidates and labelers -----------------------------------------------------------------------------------------------------
 
 _WIDE = (
-    (0, re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63})+", re.I)),
-    (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+    (0, re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]+)+", re.I)),
+    (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])")),
     (2, re.compile(r"(?<![0-9A-Za-z+-])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9A-Za-z])")),
     (3, re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])")),
-    (4, re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,200}(?![0-9A-Za-z_/+-])")),
+    (4, re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,}(?![0-9A-Za-z_/+-])")),
 )
+#: What every candidate holds.
+_CANDIDATE = re.compile(r"[0-9@]|[\[(]at[\])]|::", re.I)
 _SHAPES = (
-    re.compile(r"[a-z0-9._%+-]+.{0,3}at.{0,3}[a-z0-9-]+.*\.?[a-z]{2,6}$", re.I), re.compile(r"[0-9a-f:]{15,39}$", re.I),
+    re.compile(r"[a-z0-9._%+-]+.{0,3}at.{0,3}[a-z0-9-]+.*\.?[a-z]{2,6}$", re.I), re.compile(r"(?=.{6,39}$)(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$|(?=.{6,39}$)[0-9a-f]{2,4}:[0-9a-f:]*::[0-9a-f:]+$", re.I),
     re.compile(r"[3-6][0-9]{3}(?:[\x20-]?[0-9]{4}){3}$"), re.compile(r"(?:\([0-9]{3}\)|[0-9]{3}[.-])\x20?[0-9]{3}[.-][0-9]{4}$"),
     re.compile(r"(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|AKIA|xox)[A-Za-z0-9_-]{12,})$"),
 )
@@ -123,7 +125,7 @@ def _votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
 
 def candidates(text: str | None, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, str]]:
     """(start, kind number, end, pattern) of what the generator finds outside the base spans, without overlaps."""
-    if not text or not (_ANY.search(text) or "at" in text and ("(at)" in text.lower() or "[at]" in text.lower())):
+    if not text or not _CANDIDATE.search(text):
         return
     taken = sorted((a, b) for a, _, b in base)
     starts = [a for a, _ in taken]
