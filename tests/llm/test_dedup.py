@@ -118,6 +118,31 @@ def test_links_connect_what_is_near(spark, monkeypatch, limit):
     assert all(len(x) == 1 for x in found.values()) and len(found) == len(set(want))
 
 
+def test_keys_are_longer_for_more_fingerprints():
+    r = np.random.default_rng(8)
+    sizes = []
+    for n in (10**3, 10**8, 10**9, 10**10, 10**12, 10**15):
+        masks = simhash._keys(n, 3)
+        sizes.append(min(bin(m).count("1") for m in masks))
+        for _ in range(300):
+            apart = sum(1 << int(b) for b in r.choice(64, 3, replace=False))
+            assert any(apart & m == 0 for m in masks)
+    assert sizes == sorted(sizes) and sizes[0] == 16 and len(simhash._keys(10**10, 3)) <= 20 and sizes[3] >= 24
+
+
+def test_links_by_longer_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_keys", lambda n, budget, own=simhash._keys: own(10**11, budget))
+    r = np.random.default_rng(9)
+    prints = {int(c) ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)) for c in r.integers(0, 2**63, 40) for _ in range(8)}
+    prints = sorted(prints)
+    roots = {x.node: x.root for x in simhash.connected(simhash.links(spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fingerprint long"))).collect()}
+    found = {}
+    for p, w in zip(prints, components(prints, prints), strict=True):
+        q = int(np.uint64(p).view(np.int64))
+        found.setdefault(roots.get(q, q), set()).add(w)
+    assert all(len(x) == 1 for x in found.values()) and len(found) == len(set(components(prints, prints)))
+
+
 def test_trie_join_is_all_pairs():
     r = np.random.default_rng(2)
     prints = np.unique(r.integers(0, 2**12, 300, dtype=np.uint64) << np.uint64(20))

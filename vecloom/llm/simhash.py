@@ -1,16 +1,18 @@
 """SimHash near-dedup: fingerprints, and links between fingerprints by a self-join of a binary trie.
 
-Equal fingerprints become one class first, so the join sees each once. Two fingerprints with at most ``budget`` differing bits agree
-on one of budget + 1 bands of bits; each band deals the fingerprints out by its value, and within a group the remaining bits form a
-trie, whose nodes are ranges of the sorted fingerprints. Node pairs are traversed together from the root, both children of one with
-both of the other, adding up differing bits and dropping a pair as soon as its sum exceeds the budget. A group that is too large for
-one task is split at the trie's next level into node pairs, each with its own budget spent so far, until every part fits. A task
-returns a spanning star of each cluster it finds, not all pairs, and connected components are found over those links.
+Equal fingerprints become one class first, so the join sees each once. The bits are cut into budget + j blocks; two fingerprints with
+at most ``budget`` differing bits agree on j of them, so each choice of j blocks deals the fingerprints out by its value (j grows
+with their number, so that groups stay small), and within a group the remaining bits form a trie, whose nodes are ranges of the
+sorted fingerprints. Node pairs are traversed together from the root, both children of one with both of the other, adding up
+differing bits and dropping a pair as soon as its sum exceeds the budget. A group that is too large for one task is split into node
+pairs of the trie, each with the budget that it has left, until every part fits. A task returns a spanning star of each cluster it
+finds, not all pairs, and connected components are found over those links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -174,42 +176,49 @@ def trie_join(prints: np.ndarray, budget: int, groups: np.ndarray | None = None)
     return label
 
 
-def _bands(budget: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of budget + 1 bands that cover 64 bits."""
-    cuts = [64 * i // (budget + 1) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _keys(n: int, budget: int) -> list[int]:
+    """Masks of the bits by which n fingerprints are dealt out; two within the budget agree on all bits of one of the masks.
+
+    64 bits in budget + j blocks, of which any j are a key: at least j blocks have no differing bit. More blocks make longer keys, and
+    more of them; j is the least for which a key's groups hold GROUP_ROWS / 8 rows on average.
+    """
+    for j in range(1, 64 - budget):
+        cuts = [64 * i // (budget + j) for i in range(budget + j + 1)]
+        blocks = [(1 << b) - (1 << a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if n <= GROUP_ROWS // 8 << 64 * j // (budget + j) or 64 // (budget + j + 1) < 8:
+            return [sum(x) for x in combinations(blocks, j)]
+    return [0]
+
+
+def _long(x: int) -> int:
+    """A 64-bit pattern as a signed number."""
+    return x - (1 << 64) if x >> 63 else x
 
 
 def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """From distinct fingerprints: links (a, b) that connect all those within ``budget`` differing bits, a star per cluster and part.
 
-    A part of a split group is a pair of nodes at the next SPLIT_BITS bits above the bits used so far (cyclically).
+    A part of a split group is a pair of nodes at SPLIT_BITS further bits; a fingerprint meets the nodes that differ from its own in no
+    more bits than its part of the trie has left of the budget.
     """
-    bands = _bands(budget)
+    n = prints.count()
+    masks = _keys(n, budget)
     keyed = prints.select("fingerprint", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("band"), F.expr(f"shiftrightunsigned(fingerprint, {lo}) & {(1 << bits) - 1}L").alias("value"), F.lit("").alias("part"), F.lit((lo + bits) % 64).alias("at"))
-        for i, (lo, bits) in enumerate(bands)])).alias("k")).select("fingerprint", "k.*")
-    ready, depth = None, 0
-    while True:
-        sizes = keyed.groupBy("band", "value", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
-        large = checkpointed(sizes)
-        if large.isEmpty():
+        F.struct(F.lit(i).alias("band"), F.col("fingerprint").bitwiseAND(F.lit(_long(m))).alias("value"), F.lit("").alias("part"), F.lit(budget).alias("left")) for i, m in enumerate(masks)])).alias("k")).select("fingerprint", "k.*")
+    ready, keys = None, ["band", "value", "part"]
+    for at in (*range(0, 64, SPLIT_BITS), 64):
+        large = checkpointed(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS))
+        if large.isEmpty() or at == 64:  # when no bits are left to split by, a part has few fingerprints
             ready = keyed if ready is None else ready.unionByName(keyed)
             break
-        # split: the node of each fingerprint at the next SPLIT_BITS bits; it meets every node that the budget left allows
-        keys = ["band", "value", "part"]
         fine = keyed.join(large, keys, "left_anti")
         ready = fine if ready is None else ready.unionByName(fine)
-        split = keyed.join(large, keys, "left_semi")
-        node = F.expr(f"CAST((shiftrightunsigned(fingerprint, at) | CASE WHEN at > 0 THEN shiftleft(fingerprint, 64 - at) ELSE 0L END) & {(1 << SPLIT_BITS) - 1}L AS INT)")
-        near = F.array(*[F.lit(x) for x in range(1 << SPLIT_BITS) if bin(x).count("1") <= budget])
-        split = split.withColumn("node", node).withColumn("other", F.explode(F.transform(near, lambda x: F.col("node").bitwiseXOR(x))))
-        split = split.withColumn("part", F.concat_ws(".", "part", F.least("node", "other"), F.greatest("node", "other"))).withColumn("at", (F.col("at") + SPLIT_BITS) % 64)
-        keyed = checkpointed(split.select("fingerprint", "band", "value", "part", "at"))
-        depth += SPLIT_BITS
-        if depth > 64 - bands[0][1] - SPLIT_BITS:  # no bits are left to split by: such a part has few fingerprints
-            ready = ready.unionByName(keyed)
-            break
+        width = min(SPLIT_BITS, 64 - at)
+        node = F.expr(f"CAST(shiftrightunsigned(fingerprint, {at}) & {(1 << width) - 1}L AS INT)")
+        near = F.filter(F.array(*[F.lit(x) for x in range(1 << width) if bin(x).count("1") <= budget]), lambda x: F.bit_count(x) <= F.col("left"))
+        split = keyed.join(large, keys, "left_semi").withColumn("node", node).withColumn("apart", F.explode(near)).withColumn("other", F.col("node").bitwiseXOR(F.col("apart")))
+        split = split.withColumn("part", F.concat_ws(".", "part", F.least("node", "other"), F.greatest("node", "other"))).withColumn("left", F.col("left") - F.bit_count("apart"))
+        keyed = checkpointed(split.select("fingerprint", *keys, "left"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(table: pa.Table) -> pa.Table:
@@ -225,7 +234,7 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
         return pa.Table.from_arrays([pa.array(own[label[ends]].view(np.int64)), pa.array(own[ends].view(np.int64))], schema=out)
 
     # a cell holds whole groups, as many as a task joins side by side; two groups whose hashes agree only meet needlessly
-    cells = pieces(prints.count() * (budget + 1), CELL_ROWS, 32)
+    cells = pieces(n * len(masks), CELL_ROWS, 32)
     ready = ready.select(F.xxhash64("band", "value", "part").alias("group"), "fingerprint").withColumn("cell", F.pmod("group", F.lit(cells)))
     return ready.groupBy("cell").applyInArrow(join, "a long, b long").distinct()
 
