@@ -15,6 +15,9 @@ from vecloom.llm.kernel import checkpointed, documents, staged
 #: Identifiers that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+#: Benchmark items of fewer words are common phrases: documents that hold one are kept.
+LEAST_WORDS = 5
+
 #: No SQL expresses the classifier, the edit-distance search or the tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -51,8 +54,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    return _without(docs, decontaminate.leaks(docs, documents(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Documents that leak no benchmark item of LEAST_WORDS words or more."""
+    return _without(docs, decontaminate.leaks(docs, documents(spark, sf_dir, "benchmark"), least_words=LEAST_WORDS).select("doc_id"))
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
