@@ -161,28 +161,19 @@ def test_trie_join_of_wide_prints_is_all_pairs():
     assert [flat[i] for i in label] == components(flat, flat, 3)
 
 
-def wide_print(t, k=5):
-    """Sizes and bits of the wide fingerprint, from the hashes of single shingles."""
-    from vecloom.llm.kernel import Words, mix64, windows
-
-    w = words(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
-    if not w:
-        return (0,) * simhash.WIDE_WORDS
-    own = set()
-    for i in range(max(1, len(w) - k + 1)):
-        part = np.frombuffer(" ".join(w[i:i + k]).encode(), np.uint8)
-        one = Words(part, np.array([0, len(part)]))
-        own.add(int(windows(one.hashes(), one.doc, len(w[i:i + k]))[0][0]))
-    out = []
-    for j in range(simhash.WIDE_WORDS):
-        h = [int(x) for x in mix64(np.array(sorted(own), np.uint64) ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))]
-        out.append(int(np.uint64(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))).view(np.int64)))
-    return tuple(out)
-
-
-def test_wide_fingerprints(frame, corpus):
-    got = {r[0]: tuple(r[1:]) for r in simhash.wide_fingerprints(frame(corpus)).collect()}
-    assert got == {i: wide_print(t) for i, t in corpus}
+def test_sketches_drop_no_similar_pair(spark, frame):
+    r = np.random.default_rng(6)
+    data = []
+    for k in range(60):
+        base = [f"w{x}" for x in r.integers(0, 2000, int(r.integers(1, 200)))]
+        near = [w if r.random() > 0.03 else "other" for w in base]
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    sets = {i: shingle_set(t) for i, t in data}
+    every = [(a, b) for a in sets for b in sets if a < b]
+    kept = {(x.a, x.b) for x in simhash.near_by_sketch(spark.createDataFrame(every, "a long, b long"), simhash.sketches(frame(data))).collect()}
+    want = {(a, b) for a, b in every if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) > 0}
+    assert want <= kept and len(want) > 10 and len(kept) < 0.2 * len(every)
+    assert {(x.a, x.b) for x in simhash.similar(frame(data), spark.createDataFrame(sorted(kept), "a long, b long")).collect()} == want
 
 
 @pytest.mark.parametrize("limit", [8192, 20])

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernel import documents
+from .kernel import documents, lean
 
 SCHEMA = "n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 #: Characters given to the library at a time.
@@ -169,7 +169,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ke
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(made[c], pa.int64() if c == "n_tokens" else pa.binary() if c in store else pa.string()) for c in names], names=[*keep, *names])
                 row += len(group)
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, df[text].alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:

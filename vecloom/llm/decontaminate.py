@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, documents, mix64, pieces, slices, string_bytes, text_bytes, windows
+from .kernel import Words, documents, lean, mix64, pieces, slices, string_bytes, text_bytes, windows
 
 SIMILARITY = 0.8
 #: Text bytes of the items that are sent to the tasks at a time; a larger benchmark is searched in blocks.
@@ -353,7 +353,7 @@ def leaks(df: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "
                             [pa.array(ids[a + row[new]], pa.int64()), pa.array(item[new], pa.int64()), pa.array(distance[new], pa.int32()), pa.array(start[new], pa.int64()), pa.array(n[new], pa.int32())],
                             names=["__id", "item_id", "distance", "start_word", "n_words"])
 
-        part = docs.mapInArrow(run, _OUT)
+        part = docs.mapInArrow(lean(run), _OUT)
         found = part if found is None else found.unionByName(part)
     best = found.groupBy("__id", "item_id").agg(F.min(F.struct("distance", "start_word", "n_words")).alias("m"))
     return best.select(F.col("__id").alias(doc_id), "item_id", "m.distance", "m.start_word", "m.n_words", (1 - F.col("m.distance") / F.col("m.n_words")).alias("similarity"))

@@ -6,6 +6,9 @@ bytes other than ``[\\x20\\x09-\\x0D]``; that set is ASCII, so splitting bytes a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -209,6 +212,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer there; it finds them when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark) -> str:
     """The folder that driver and executors share: what the session names, or one of this machine where it names none (tests)."""
     context = spark.sparkContext
@@ -221,5 +230,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def lean(run):
+    """A function of Arrow batches that gives freed memory back when it ends: workers live on for other tasks."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return held
+
+
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def documents(spark, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of the corpus; the session's Arrow batches are cut to BATCH_ROWS rows."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

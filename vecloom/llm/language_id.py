@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, crc_mod, documents, mix64, slices, string_bytes
+from .kernel import LOWER, crc_mod, documents, lean, mix64, slices, string_bytes
 
 #: Training documents per language: about so many are taken by a hash of the identifier.
 TRAIN_DOCS = 2000
@@ -127,7 +127,7 @@ def train(df: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
                     gram, docs = np.unique(k[new], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(docs, pa.int64())], names=["lang", "gram", "docs"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    counted = sample.mapInArrow(lean(count), "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     drawn_docs = {k: max(1.0, min(n, TRAIN_DOCS)) for k, n in sizes.items()}
     least = F.create_map(*[x for k, n in drawn_docs.items() for x in (F.lit(k), F.lit(max(float(LEAST_DOCS), LEAST_SHARE * n)))])
     found = counted.where(F.col("docs") >= F.element_at(least, F.col("lang"))).select("lang", "gram").toArrow()
@@ -169,7 +169,7 @@ def identify(df: DataFrame, model: SlicedFilter, doc_id: str = "doc_id", text: s
             names = np.array([*model.languages, "und"], dtype=object)[best]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["__id", "lang_pred", "score"])
 
-    return df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__id", doc_id)
+    return df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(lean(run), schema).withColumnRenamed("__id", doc_id)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import documents
+from .kernel import documents, lean
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ACCEPT = 0.5
@@ -219,7 +219,7 @@ def train(df: DataFrame, text: str = "text") -> SpanClassifier:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
-    rows = df.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(text).where(F.col(text).isNotNull()).mapInArrow(lean(run), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return aggregate_votes({r.pattern: r.n for r in rows})
 
 
@@ -257,7 +257,7 @@ def find_pii(df: DataFrame, model: SpanClassifier, doc_id: str = "doc_id", text:
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=schema.names)
 
-    return df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__id", doc_id)
+    return df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(lean(run), schema).withColumnRenamed("__id", doc_id)
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:

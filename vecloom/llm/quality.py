@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import Words, crc_mod, documents, mix64, slices, string_bytes
+from .kernel import Words, crc_mod, documents, lean, mix64, slices, string_bytes
 
 #: Labelled documents that the model is fitted on: about so many of each label, by a hash of the identifier.
 TRAIN_DOCS = 1500
@@ -313,7 +313,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     pa.array([lines.size[s:e].astype("<i8").tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.array([own[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["id", "y", "sizes", "features"])
 
-    rows = sorted(sample.mapInArrow(lines_of, out).collect(), key=lambda r: r.id)
+    rows = sorted(sample.mapInArrow(lean(lines_of), out).collect(), key=lambda r: r.id)
     n = np.array([len(r.sizes) // 8 for r in rows], np.int64)
     first = np.concatenate([[0], np.cumsum(n)])
     size = np.frombuffer(b"".join(bytes(r.sizes) for r in rows), "<i8")
@@ -342,7 +342,7 @@ def score(df: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text
             for a, b, lines in _batch_lines(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.round(chain.scores(lines), 9), pa.float64())], names=["__id", "score"])
 
-    scored = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, schema)
+    scored = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(lean(run), schema)
     return scored.select(F.col("__id").alias(doc_id), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -355,7 +355,7 @@ def keep_good(df: DataFrame, chain: Chain, text: str = "text", threshold: float
             for a, b, lines in _batch_lines(batch, at):
                 yield batch.slice(a, b - a).filter(pa.array(np.round(chain.scores(lines), 9) >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

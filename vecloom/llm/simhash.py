@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, Words, checkpointed, documents, mix64, pieces, slices, staged, string_bytes, text_bytes, windows
+from .kernel import LOWER, Words, checkpointed, documents, lean, mix64, pieces, release, slices, staged, string_bytes, text_bytes, windows
 
 SHINGLE = 3
 SEED = 42
@@ -33,12 +33,9 @@ CELL_ROWS = 1 << 16
 #: Node pairs that are expanded at a time.
 PAIR_BLOCK = 1 << 15
 
-#: Wide fingerprints: words of a shingle, words of 64 bits.
+#: Words of a shingle of the sets, and bytes of text that are expanded at a time for them.
 WIDE_SHINGLE = 5
-WIDE_WORDS = 8
-#: Bytes of text, and runs of 255 shingles, that are expanded at a time for wide fingerprints and for shingle sets.
 WIDE_SLICE = 1 << 17
-WIDE_RUNS = 64
 
 #: Near copies are texts whose sets of five-word shingles have a Jaccard similarity of at least SIMILAR[0] / SIMILAR[1].
 SIMILAR = (4, 5)
@@ -49,9 +46,13 @@ FREQUENT = 3
 MOST_FREQUENT = 200_000
 #: Rows of shingles that a task looks through for shared ones, and pairs that are compared at a time.
 SHARED_ROWS = 1 << 18
-PAIRS_AT_A_TIME = 1 << 19
+PAIRS_AT_A_TIME = 1 << 18
+#: 64-bit words of a set's sketch.
+SKETCH_WORDS = 8
 #: Rounds that link the rows of a shingle to one of them before all pairs that are still apart are compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Rows of one or two numbers that are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -98,7 +99,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
                     prints.append(int(np.packbits(2 * votes > e - s, bitorder="little").view("<i8")[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=[doc_id, "fingerprint"])
 
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -256,6 +257,7 @@ def connected(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    release(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
@@ -299,42 +301,6 @@ def shingle_sets(words: Words, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray,
     return h, doc, begin, np.diff(np.append(begin, len(h)))
 
 
-def wide_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """(id, w0 … w7 long): a fingerprint of 512 bits over a text's distinct word shingles, A-Z lower-cased.
-
-    A text with fewer words has one shingle, one without words the fingerprint zero. Rows with a null id are left out.
-    """
-    names = [f"w{i}" for i in range(WIDE_WORDS)]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in (doc_id, *names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_bytes(batch.column(1))
-            out = np.zeros((batch.num_rows, WIDE_WORDS), np.int64)
-            for a, b in slices(offsets, WIDE_SLICE):
-                words = Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                h, doc, begin, size = shingle_sets(words, shingle)
-                if not len(h):
-                    continue
-                # votes add up as bytes, eight side by side, over runs of 255 shingles at most
-                runs = -(-size // 255)
-                at = np.cumsum(runs) - runs
-                chunk = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(at, runs))
-                bounds = np.append(chunk, len(h))
-                for w in range(WIDE_WORDS):
-                    sums = np.empty((len(chunk), 64), np.uint8)
-                    for lo in range(0, len(chunk), WIDE_RUNS):
-                        part = bounds[lo:lo + WIDE_RUNS + 1]
-                        own = mix64(h[part[0]:part[-1]] ^ np.uint64((w + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                        sums[lo:lo + WIDE_RUNS] = np.add.reduceat(bits.view(np.uint64), part[:-1] - part[0], axis=0).view(np.uint8)
-                    votes = np.add.reduceat(sums, at, axis=0, dtype=np.int64)
-                    out[a + doc[begin], w] = np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(WIDE_WORDS))], names=[doc_id, *names])
-
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).where(F.col(doc_id).isNotNull()).mapInArrow(run, schema)
-
-
 def _sets(df: DataFrame, doc_id: str, text: str, schema: str, make) -> DataFrame:
     """Rows that ``make`` (ids, hashes, row of each, begin and size of each row's set) returns as arrays, for slices of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +313,7 @@ def _sets(df: DataFrame, doc_id: str, text: str, schema: str, make) -> DataFrame
                     made = make(ids[a:b], h, doc, begin, size)
                     yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).where(F.col(doc_id).isNotNull()).mapInArrow(run, schema)
+    return df.select(F.col(doc_id).cast("long"), F.col(text)).where(F.col(doc_id).isNotNull()).mapInArrow(lean(run), schema)
 
 
 def shingle_arrays(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -415,8 +381,8 @@ def _possible(x: str, y: str) -> str:
     return f"{sum(SIMILAR)}L * least({x}.n - {x}.at, {y}.n - {y}.at) >= {SIMILAR[0]}L * ({x}.n + {y}.n)"
 
 
-def all_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components (``root``) that may be similar, from rows (token, id, n, at, root).
+def all_pairs(shared: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components (``root``) that may be similar, also by their sketches, from rows (token, id, n, at, root).
 
     The rows of a token meet in parts of at most about GROUP_ROWS rows of each side: those that may be the smaller set of a pair are
     dealt out one way and all rows the other way, and each part of the one meets each part of the other. None is dropped.
@@ -424,23 +390,22 @@ def all_pairs(shared: DataFrame) -> DataFrame:
     top, under = SIMILAR
     sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"int({_smaller('n', 'at')})")).alias("s"), (F.min("root") < F.max("root")).alias("open")).where("open AND s > 0")
     limit = F.lit(GROUP_ROWS)
-    own = checkpointed(shared.join(sizes.select("token", F.ceil(F.col("s") / limit).alias("us"), F.ceil(F.col("m") / limit).alias("vs")), "token"))
+    names = [f"s{k}" for k in range(SKETCH_WORDS)]
+    own = checkpointed(shared.join(sketch.select(F.col("id"), F.col("n").cast("int").alias("n"), *names).distinct(), ["id", "n"]).join(sizes.select("token", F.ceil(F.col("s") / limit).alias("us"), F.ceil(F.col("m") / limit).alias("vs")), "token"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     x = own.where(_smaller("n", "at")).select("*", F.lit(True).alias("small"), deal("us").alias("u"), F.explode(F.expr("sequence(0L, vs - 1)")).alias("v"))
     y = own.select("*", F.lit(False).alias("small"), F.explode(F.expr("sequence(0L, us - 1)")).alias("u"), deal("vs").alias("v"))
-    parts = x.unionByName(y).select(F.xxhash64("token", "u", "v").alias("part"), "id", "n", "at", "root", "small")
-    cells = pieces(own.count(), CELL_ROWS, 32)
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    parts = x.unionByName(y)
 
-    def join(table: pa.Table) -> pa.Table:
-        part, ids, n, at, root, small = (np.asarray(table.column(c).combine_chunks().cast(pa.int64())) for c in ("part", "id", "n", "at", "root", "small"))
+    def join(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        part, ids, n, at, root, small, *words = columns
         order = np.lexsort((ids, n, small, part))
         part, ids, n, at, root, small = (v[order] for v in (part, ids, n, at, root, small))
+        bits = np.stack(words, axis=1)[order].view(np.uint64)
         big = np.flatnonzero(small == 0)
         little = np.flatnonzero(small)
         lo, hi = np.searchsorted(part[big], part[little], "left"), np.searchsorted(part[big], part[little], "right")
         ends = np.cumsum(hi - lo)
-        found = []
         i = 0
         while i < len(little):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS_AT_A_TIME, "right")))
@@ -448,25 +413,87 @@ def all_pairs(shared: DataFrame) -> DataFrame:
             p = np.repeat(little[i:j], each)
             q = big[np.repeat(lo[i:j], each) + np.arange(len(p)) - np.repeat(np.cumsum(each) - each, each)]
             ok = (root[p] != root[q]) & (n[p] <= n[q]) & (under * n[p] >= top * n[q]) & ((top + under) * np.minimum(n[p] - at[p], n[q] - at[q]) >= top * (n[p] + n[q]))
+            p, q = p[ok], q[ok]
+            ok = (top + under) * np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= (under - top) * (n[p] + n[q])
             p, q = ids[p[ok]], ids[q[ok]]
             if len(p):
-                found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0))
+                pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
             i = j
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
 
-    return parts.withColumn("cell", F.pmod("part", F.lit(cells))).groupBy("cell").applyInArrow(join, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ascend by part; whole parts are joined as soon as CELL_ROWS rows of them are there, and no more are held."""
+        held = None
+        for batch in batches:
+            own = [np.asarray(batch.column(k).cast(pa.int64())) for k in range(batch.num_columns)]
+            held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            if len(held[0]) >= CELL_ROWS and held[0][0] != held[0][-1]:
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                yield from join([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield from join(held)
+
+    rows = parts.select(F.xxhash64("token", "u", "v").alias("part"), "id", "n", "at", "root", "small", *names)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df, which is at hand, broadcast if it has no more than BROADCAST_ROWS rows (of numbers)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, d, e, s0 …): of each row's set of five-word shingles its size, a digest of 128 bits, and SKETCH_WORDS words of bits, each
+    bit the parity of the shingles that hash to it. Rows without words or id are left out."""
+    names = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+    def make(ids, h, doc, begin, size):
+        d, e = (np.add.reduceat(mix64(h ^ np.uint64(salt)), begin).view(np.int64) for salt in (1, 2))
+        place = mix64(h ^ np.uint64(3))
+        bit, word = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(32)) % np.uint64(SKETCH_WORDS)
+        words = {c: pa.array(np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), begin).view(np.int64)) for k, c in enumerate(names)}
+        return {"id": pa.array(ids[doc[begin]]), "n": pa.array(size, pa.int64()), "d": pa.array(d), "e": pa.array(e)} | words
+
+    return _sets(df, doc_id, text, "id long, n long, d long, e long, " + ", ".join(f"{c} long" for c in names), make)
+
+
+def near_by_sketch(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that may be similar by their sketches: two sketches differ in no more bits than the sets in shingles, so a
+    pair whose bits exceed the budget of shingles isn't similar."""
+    names = [f"s{k}" for k in range(SKETCH_WORDS)]
+    x, y = (sketch.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.array(*names).alias(f"{c}s")) for c in "ab")
+    apart = sum((F.bit_count(F.get("as", F.lit(k)).bitwiseXOR(F.get("bs", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
+    budget = (SIMILAR[1] - SIMILAR[0]) * (F.col("an") + F.col("bn"))
+    return pairs.join(x, "a").join(y, "b").where(sum(SIMILAR) * apart <= budget).select("a", "b").distinct()
 
 
 def similar(df: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Those pairs (a, b) whose sets of five-word shingles have a Jaccard similarity of SIMILAR at least, by the sets themselves."""
-    ids = pairs.select(F.col("a").alias("__i")).union(pairs.select("b")).distinct()
-    sets = shingle_arrays(df.join(ids, F.col(doc_id).cast("long") == ids["__i"], "left_semi"), doc_id, text)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(f"{sum(SIMILAR)}L * size(array_intersect(x, y)) >= {SIMILAR[0]}L * (size(x) + size(y))").select("a", "b").distinct()
+    """Those pairs (a, b) whose sets of five-word shingles have a Jaccard similarity of SIMILAR at least, by the sets themselves.
 
+    Only texts of the pairs travel, and as texts: a set takes three times the bytes.
+    """
+    ids = checkpointed(pairs.select(F.col("a").alias("__i")).union(pairs.select("b")).distinct())
+    texts = df.select(F.col(doc_id).cast("long").alias("__i"), F.col(text).alias("__x")).join(_sent(ids), "__i", "left_semi")
+    both = pairs.join(texts.withColumnRenamed("__x", "x"), F.col("a") == F.col("__i")).drop("__i").join(texts.withColumnRenamed("__x", "y"), F.col("b") == F.col("__i")).drop("__i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [string_bytes(batch.column(k)) for k in (2, 3)]
+            for a, b in slices(sides[0][1] + sides[1][1], WIDE_SLICE):
+                sets = [shingle_sets(Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]))[:2] for data, offsets in sides]
+                sizes = np.bincount(np.concatenate([doc for _, doc in sets]), minlength=b - a)
+                h, doc = (np.concatenate(x) for x in zip(*sets, strict=True))
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                common = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=b - a)
+                ok = (sum(SIMILAR) * common >= SIMILAR[0] * sizes) & (sizes > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a).filter(pa.array(ok)) for k in (0, 1)], names=["a", "b"])
 
-def similar_links(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def similar_links(df: DataFrame, known: DataFrame, sketch: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b), ``known`` ones included, that connect all pairs of rows whose sets of five-word shingles are similar.
 
     Every link besides the known ones is a pair that ``similar`` has verified. First the rows of each shared shingle are compared with
@@ -476,7 +503,7 @@ def similar_links(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text:
     shared, links_ = staged(shared_shingles(df, doc_id, text), "shared"), checkpointed(known)
     for k in range(STAR_ROUNDS + 1):
         roots = connected(links_)
-        shared = shared.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        shared = shared.drop("root").join(_sent(checkpointed(roots.withColumnRenamed("node", "id"))), "id", "left").withColumn("root", F.coalesce("root", "id"))
         tokens = shared.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.expr(_smaller("n", "at"))).alias("any")).where("r < s AND any").select("token")
         shared = staged(shared.join(tokens, "token", "left_semi"), "shared")
         if shared.isEmpty():
@@ -486,8 +513,10 @@ def similar_links(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text:
             pairs = shared.withColumn("q", F.struct("n", "at")).join(pivot, "token").where(f"root <> p.root AND {_possible('p', 'q')} AND {SIMILAR[1]}L * least(n, p.n) >= {SIMILAR[0]}L * greatest(n, p.n)")
             pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         else:
-            pairs = all_pairs(shared)
-        links_ = checkpointed(links_.unionByName(similar(df, checkpointed(pairs), doc_id, text)))
+            pairs = all_pairs(shared, sketch)
+        found = similar(df, checkpointed(near_by_sketch(pairs, sketch)), doc_id, text)
+        links_ = checkpointed(roots.toDF("a", "b").unionByName(found))  # the stars of what is linked connect the same
+        release(df.sparkSession)
     return links_
 
 
@@ -499,15 +528,12 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     narrow = near_groups(df, doc_id, text).where(f"`{doc_id}` <> component_id").select(F.col(doc_id).alias("a"), F.col("component_id").alias("b"))
 
-    def digest(ids, h, doc, begin, size):
-        d, e = (np.add.reduceat(mix64(h ^ np.uint64(salt)), begin).view(np.int64) for salt in (1, 2))
-        return {"id": pa.array(ids[doc[begin]]), "n": pa.array(size, pa.int64()), "d": pa.array(d), "e": pa.array(e)}
-
     # equal sets of any number are linked beforehand
-    sets = checkpointed(_sets(df, doc_id, text, "id long, n long, d long, e long", digest))
+    sets = checkpointed(sketches(df, doc_id, text))
+    release(df.sparkSession)
     classes = sets.groupBy("n", "d", "e").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     same = sets.join(classes, ["n", "d", "e"]).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    return connected(similar_links(df, narrow.unionByName(same), doc_id, text)).select(F.col("node").alias(doc_id), F.col("root").alias("component_id"))
+    return connected(similar_links(df, narrow.unionByName(same), sets.drop("d", "e"), doc_id, text)).select(F.col("node").alias(doc_id), F.col("root").alias("component_id"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
