@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prng, vec
+from ..sources.tables import shared_folder
 from . import codecs
 from .estimate import coordinates, vectors_of
 
@@ -31,7 +32,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder that the session names (a local one only where it names none, as in tests)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{context.applicationId}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

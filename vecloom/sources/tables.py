@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the session names, or one of this machine where it names none (tests)."""
+    context = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{context.applicationId}"
+
+
 def vectors(spark: SparkSession, sf_dir: str, clients: int = 1) -> DataFrame:
     """(vec_id, client, label, x) of the embeddings; client deals rows out round robin."""
     e = table(spark, sf_dir, "embeddings")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sketch import _hashed
+from ..sources.tables import shared_folder
 
 
 def windowed_sketch(events: DataFrame, key: str, value: str, ts: str, window: str, delay: str, rows: int, cols: int) -> DataFrame:
@@ -29,8 +30,7 @@ def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     Each batch of ``complete`` mode replaces the result; ``append`` adds to it.
     """
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/out")
