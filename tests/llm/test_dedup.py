@@ -176,6 +176,23 @@ def test_sketches_drop_no_similar_pair(spark, frame):
     assert {(x.a, x.b) for x in simhash.similar(frame(data), spark.createDataFrame(sorted(kept), "a long, b long")).collect()} == want
 
 
+def test_long_sketches_part_large_sets_and_drop_no_similar_pair(spark, frame):
+    r = np.random.default_rng(8)
+    data, near, far = [], set(), set()
+    for k, n in enumerate((513, 700, 1020, 1030, 2049, 5000, 20_000)):
+        base = [f"w{x}" for x in r.integers(0, 10**6, n)]
+        for j, share in enumerate((0.0, 0.02, 0.08)):
+            t = [w if r.random() >= share else f"new{r.integers(0, 10**9)}" for w in base]
+            data.append((10 * k + j, " ".join(t[:int(n * (1 if j == 2 else 0.92 if j else 1))])))
+        near.add((10 * k, 10 * k + 1))
+        far.add((10 * k, 10 * k + 2))
+    sets = {i: shingle_set(t) for i, t in data}
+    every = [(a, b) for a in sets for b in sets if a < b]
+    want = {(a, b) for a, b in every if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    kept = {(x.a, x.b) for x in simhash.near_by_sketch(spark.createDataFrame(every, "a long, b long"), simhash.sketches(frame(data))).collect()}
+    assert want <= kept and want and want <= near and not kept & far and len(kept) <= len(near)
+
+
 @pytest.mark.parametrize("limit", [8192, 20])
 def test_near_copies(frame, monkeypatch, limit):
     monkeypatch.setattr(simhash, "GROUP_ROWS", limit)

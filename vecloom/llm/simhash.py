@@ -12,6 +12,7 @@ finds, not all pairs, and connected components are found over those links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -443,9 +444,23 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _long_sketches(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """Parity bits of each set, as many as the next power of two from its size on, as 64-bit words; none for a set that SKETCH_WORDS
+    words serve as well. The bits of half as many are those of both halves, added up without carry."""
+    power = np.int64(1) << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+    bits = np.where(size > 64 * SKETCH_WORDS, power, 0)
+    ends = np.cumsum(bits)
+    row = np.repeat(np.arange(len(size)), size)
+    own = bits[row] > 0
+    place = (mix64(h[own] ^ np.uint64(4)) & (bits[row[own]] - 1).view(np.uint64)).astype(np.int64) + (ends - bits)[row[own]]
+    odd = (np.bincount(place, minlength=int(ends[-1])) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends // 64), pa.int32()), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
 def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, d, e, s0 …): of each row's set of five-word shingles its size, a digest of 128 bits, and SKETCH_WORDS words of bits, each
-    bit the parity of the shingles that hash to it. Rows without words or id are left out."""
+    """(id, n, d, e, s0 …, wide): of each row's set of five-word shingles its size, a digest of 128 bits, and SKETCH_WORDS words of bits,
+    each bit the parity of the shingles that hash to it; ``wide`` has more of them for larger sets. Rows without words or id are left
+    out."""
     names = [f"s{k}" for k in range(SKETCH_WORDS)]
 
     def make(ids, h, doc, begin, size):
@@ -453,19 +468,27 @@ def sketches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         place = mix64(h ^ np.uint64(3))
         bit, word = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(32)) % np.uint64(SKETCH_WORDS)
         words = {c: pa.array(np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), begin).view(np.int64)) for k, c in enumerate(names)}
-        return {"id": pa.array(ids[doc[begin]]), "n": pa.array(size, pa.int64()), "d": pa.array(d), "e": pa.array(e)} | words
+        return {"id": pa.array(ids[doc[begin]]), "n": pa.array(size, pa.int64()), "d": pa.array(d), "e": pa.array(e)} | words | {"wide": _long_sketches(h, begin, size)}
 
-    return _sets(df, doc_id, text, "id long, n long, d long, e long, " + ", ".join(f"{c} long" for c in names), make)
+    return _sets(df, doc_id, text, "id long, n long, d long, e long, " + ", ".join(f"{c} long" for c in names) + ", wide array<long>", make)
 
 
 def near_by_sketch(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """Those pairs (a, b) that may be similar by their sketches: two sketches differ in no more bits than the sets in shingles, so a
-    pair whose bits exceed the budget of shingles isn't similar."""
+    pair whose bits exceed the budget of shingles isn't similar. Few bits say nothing about large sets, so the pairs that are left are
+    judged by their long sketches too; of two sets that may be similar one has at most twice as many bits there, and is folded."""
     names = [f"s{k}" for k in range(SKETCH_WORDS)]
     x, y = (sketch.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.array(*names).alias(f"{c}s")) for c in "ab")
     apart = sum((F.bit_count(F.get("as", F.lit(k)).bitwiseXOR(F.get("bs", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
     budget = (SIMILAR[1] - SIMILAR[0]) * (F.col("an") + F.col("bn"))
-    return pairs.join(x, "a").join(y, "b").where(sum(SIMILAR) * apart <= budget).select("a", "b").distinct()
+    near = pairs.join(x, "a").join(y, "b").where(sum(SIMILAR) * apart <= budget).where(SIMILAR[1] * F.least("an", "bn") >= SIMILAR[0] * F.greatest("an", "bn")).select("a", "b", "an", "bn")
+    large = sketch.where(F.size("wide") > 0)
+    for c in "ab":
+        near = near.join(large.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("wide").alias(f"{c}l")), [c, f"{c}n"], "left")
+    m = F.least(F.size("al"), F.size("bl"))
+    word = lambda i: reduce(lambda x, y: x.bitwiseXOR(y), [F.coalesce(F.get(c, k), F.lit(0).cast("long")) for c in ("al", "bl") for k in (i, i + m)])
+    apart = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0), lambda s, i: s + F.bit_count(word(i)))
+    return near.where(F.col("al").isNull() | F.col("bl").isNull() | (sum(SIMILAR) * apart <= budget)).select("a", "b").distinct()
 
 
 def similar(df: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
