@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.functions import vec
+from vecloom.functions import quant, vec
 from vecloom.operators import codecs, estimate, sketch, workloads
 from vecloom.sources import tables
 from vecloom.streaming import sketches
@@ -112,6 +112,27 @@ def test_kmeans_lowers_its_objective(spark, codec):
         assert min(np.abs(centres[used] - 0.5).max(1)) < 0.2
 
 
+def test_kmeans_counts_no_null_points(spark):
+    x = np.random.default_rng(10).normal(size=(12, 8))
+    points = vectors(spark, x, 4)
+    null = spark.createDataFrame([(99, 1, None)], points.schema)
+    (centres, history), (same, other) = (workloads.kmeans(p, 3, 8, 2) for p in (points, points.unionByName(null)))
+    assert np.allclose(centres, same) and np.allclose(history, other)
+    start = workloads.start_centres(3, 8)
+    assert np.isclose(history[0], ((x[:, None] - start) ** 2).sum(2).min(1).sum())
+
+
+def test_two_means_go_on_until_convergence(spark):
+    x = [[1.0 + 1.07**k for k in range(300)], [], [2.0, 2.0]]  # a long tail takes many steps
+    df = spark.createDataFrame([(v,) for v in x], "y array<double>")
+    got = [(r.n0, r.n1) for r in df.select(quant.two_means(F.col("y"), None).alias("m")).select("m.*").collect()]
+    v, n0 = np.array(x[0]), -1
+    cut = v.mean()
+    while n0 != (n0 := int((v < cut).sum())):
+        cut = (v[v < cut].mean() + v[v >= cut].mean()) / 2
+    assert got[0] == (n0, 300 - n0) and sum(got[1]) == 0 and sum(got[2]) == 2
+
+
 def test_power_iteration_finds_the_leading_direction(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(60, 8)) * np.array([5, 1, 1, 1, 1, 1, 1, 1])
@@ -158,12 +179,12 @@ def test_streams(spark, tmp_path):
     spark.range(40).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), (F.col("id") % 5).alias("k"), F.lit(1.0).alias("v")).repartition(3).write.parquet(f"file://{tmp_path}/in")
     batch = spark.read.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    got = {(r.window_start, r.row, r.bucket): r.value for r in sketches.run_once(sketches.windowed_sketch(stream, "k", "v", "ts", "1 day", "1 hour", 2, 7)).collect()}
+    got = {(r.window_start, r.row, r.bucket): r.value for r in sketches.run_once(sketches.windowed_sketch(stream, "k", "v", "ts", "1 day", "2 days", 2, 7), ["window_start", "row", "bucket"]).collect()}
     want = {(r.d, r.row, r.bucket): r.value for r in sketch.sketch(batch.withColumn("d", F.date_trunc("day", "ts")), "k", "v", 2, 7, ("d",)).collect()}
     assert got == want
     spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0])], "k string, x array<double>").write.parquet(f"file://{tmp_path}/v")
     s = spark.readStream.schema("k string, x array<double>").parquet(f"file://{tmp_path}/v")
-    assert {(r.i, r.n, r["mean"]) for r in sketches.run_once(sketches.running_mean(s, "k", "x")).collect()} == {(0, 2, 2.0), (1, 2, 4.0)}
+    assert {(r.i, r.n, r["mean"]) for r in sketches.run_once(sketches.running_mean(s, "k", "x"), ["k", "i"]).collect()} == {(0, 2, 2.0), (1, 2, 4.0)}
 
 
 def test_packed_messages_and_timing(spark):

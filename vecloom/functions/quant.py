@@ -46,27 +46,30 @@ def _centroids(n0: Column, s0: Column, n: Column, s: Column) -> tuple[Column, Co
     return F.when(whole, mean).otherwise(F.try_divide(s0, n0)), F.when(whole, mean).otherwise(F.try_divide(s - s0, n - n0))
 
 
-def two_means(y: Column, rounds: int = 3) -> Column:
+def two_means(y: Column, rounds: int | None = 3) -> Column:
     """struct(c0, c1, n0, n1, cut): centroids and sizes of the parts below and from ``cut`` on, after at most ``rounds`` Lloyd steps
-    from the split at the mean. Both parts of one step are nested in those of the next, so a step that changes no size changes
-    nothing, and stopping early is the same as going on.
+    from the split at the mean, or until convergence (None). Both parts of one step are nested in those of the next, so a step that
+    changes no size changes nothing, steps after it are skipped, and no vector takes more steps than it has coordinates.
     """
     def run(a: Column) -> Column:
         y, n, s = a["y"], a["n"], a["s"]
 
         def split(cut: Column) -> Column:
-            return vec.let(lambda c: F.struct(F.size(c["low"]).cast("double").alias("n0"), vec.total(c["low"]).alias("s0"), c["cut"].alias("cut")), low=F.filter(y, lambda v: v < cut), cut=cut)
+            return vec.let(lambda c: F.struct(F.size(c["low"]).cast("double").alias("n0"), vec.total(c["low"]).alias("s0"), c["cut"].alias("cut"), F.lit(False).alias("done")), low=F.filter(y, lambda v: v < cut), cut=cut)
 
         def step(a: Column, _: Column) -> Column:
             c0, c1 = _centroids(a["n0"], a["s0"], n, s)
-            return vec.let(lambda m: split(m["cut"]), cut=(c0 + c1) / 2)
+            after = vec.let(lambda m: split(m["cut"]), cut=(c0 + c1) / 2)
+            return F.when(a["done"], a).otherwise(vec.let(lambda m: m["b"].withField("done", m["b"]["n0"] == a["n0"]), b=after))
 
         def finish(a: Column) -> Column:
             c0, c1 = _centroids(a["n0"], a["s0"], n, s)
             return F.struct(c0.alias("c0"), c1.alias("c1"), a["n0"].cast("long").alias("n0"), (n - a["n0"]).cast("long").alias("n1"), a["cut"].alias("cut"))
 
         start = vec.let(lambda m: split(m["cut"]), cut=vec.ratio(s, n))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, finish) if rounds else F.aggregate(F.array(F.lit(0)), start, lambda a, _: a, finish)
+        if rounds == 0:
+            return F.aggregate(F.array(F.lit(0)), start, lambda a, _: a, finish)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1)) if rounds is None else F.lit(rounds)), start, step, finish)
 
     return vec.let(lambda b: vec.let(run, y=b["y"], n=F.size(b["y"]).cast("double"), s=vec.total(b["y"])), y=y)
 

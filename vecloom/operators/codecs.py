@@ -63,8 +63,8 @@ def sign_decode(df: DataFrame, d: int, entity: str = "client") -> DataFrame:
     return unrotate(df, "__v", "xhat", d, entity).drop("__v")
 
 
-def two_means_encode(df: DataFrame, d: int, x: str = "x", entity: str = "client", row: str | None = None, rounds: int = 3) -> DataFrame:
-    """``rounds`` of Lloyd; a few dozen reach convergence on any vector that isn't adversarial."""
+def two_means_encode(df: DataFrame, d: int, x: str = "x", entity: str = "client", row: str | None = None, rounds: int | None = 3) -> DataFrame:
+    """``rounds`` of Lloyd; None goes on until convergence."""
     return _two_level("__y", lambda y: quant.two_means(y, rounds), rotate(df, x, "__y", d, entity), False).drop("__y")
 
 
@@ -222,7 +222,7 @@ CODECS = {c.name: c for c in (
     Codec("split_at_mean", split_encode, two_level_decode),
     Codec("hadamard_sq", hadamard_encode, hadamard_decode),
     *(Codec(f"hadamard_{b}bit", partial(hadamard_encode, bits=b), partial(hadamard_decode, bits=b), False, lambda d, b=b: b * vec.next_power(d) / d) for b in (2, 4, 8)),
-    Codec("two_means_lloyd", partial(two_means_encode, rounds=64), two_level_decode),
+    Codec("two_means_lloyd", partial(two_means_encode, rounds=None), two_level_decode),
     Codec("kashin_sq", kashin_encode, kashin_decode, False, lambda d: vec.kashin_dim(d) / d),
     Codec("terngrad", terngrad_encode, terngrad_decode, False, lambda d: 2.0),
     Codec("terngrad_clipped", lambda df, d, **k: terngrad_encode(df, d, variant="clipped", **k), terngrad_decode, False, lambda d: 2.0),

@@ -53,33 +53,34 @@ def nearest(points: DataFrame, centres: np.ndarray, x: str = "x") -> DataFrame:
     return points.withColumn("__ds", dists).withColumn("dist", F.array_min("__ds")).withColumn("cluster", (F.array_position("__ds", F.col("dist")) - 1).cast("int")).drop("__ds")
 
 
-def cluster_sums(assigned: DataFrame, keys: list[str], x: str = "x") -> tuple[DataFrame, DataFrame]:
-    """(keys, cluster, i, v) sums and (keys, cluster, mass)."""
-    return (coordinates(assigned, [*keys, "cluster"], x).groupBy(*keys, "cluster", "i").agg(F.sum("v").alias("v")),
-            assigned.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("mass")))
+def cluster_sums(assigned: DataFrame, keys: list[str], dim: int, x: str = "x") -> DataFrame:
+    """(keys, cluster, i, v): sums of the coordinates, and behind them of 1 (the mass, i = dim) and dist (i = dim + 1), in one pass."""
+    rows = assigned.withColumn("__x", F.concat(x, F.array(F.lit(1.0), F.col("dist"))))
+    return coordinates(rows, [*keys, "cluster"], "__x").groupBy(*keys, "cluster", "i").agg(F.sum("v").alias("v"))
 
 
 def kmeans_round(points: DataFrame, centres: np.ndarray, codec: str = "identity") -> tuple[np.ndarray, float]:
     """New centres and the objective of the old ones.
 
     Each client sends its flattened cluster sums by the codec, padded to a power of two, and its masses as they are. A cluster
-    without points has centre 0.
+    without points has centre 0. The points are read once; what is kept of them is a row per client, cluster and coordinate.
     """
     k, dim = centres.shape
-    assigned = nearest(points, centres)
-    sums, mass = cluster_sums(assigned, ["client"])
+    sums = checkpointed(cluster_sums(nearest(points, centres), ["client"], dim))
     p = vec.next_power(k * dim)
-    flat = sums.select("client", (F.col("cluster") * dim + F.col("i")).alias("i"), "v")
     # a client's message is dense: absent coordinates are 0
-    message = flat.groupBy("client").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m")).select(
-        "client", vec.let(lambda s: F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.coalesce(F.try_element_at(s["m"], i.cast("int")), F.lit(0.0))), m=F.col("m")).alias("x"))
+    flat = sums.where(F.col("i") < dim).select("client", (F.col("cluster") * dim + F.col("i")).alias("i"), "v")
+    zeros = sums.select("client").distinct().select("client", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("i"), F.lit(0.0).alias("v"))
+    message = vectors_of(flat.unionByName(zeros).groupBy("client", "i").agg(F.sum("v").alias("v")), ["client"], "v")
     decoded = codecs.round_trip(message, codec, p)
     merged = {r.i: r.s for r in coordinates(decoded, [], "xhat").where(F.col("i") < k * dim).groupBy("i").agg(F.sum("v").alias("s")).collect()}
-    masses = np.zeros(k)
-    for r in mass.groupBy("cluster").agg(F.sum("mass").alias("n")).collect():
-        masses[r.cluster] = r.n
+    masses, objective = np.zeros(k), 0.0
+    for r in sums.where(F.col("i") >= dim).groupBy("cluster", "i").agg(F.sum("v").alias("v")).collect():
+        if r.i == dim:
+            masses[r.cluster] = r.v
+        else:
+            objective += r.v
     total = np.array([merged.get(i, 0.0) for i in range(k * dim)]).reshape(k, dim)
-    objective = assigned.agg(F.coalesce(F.sum("dist"), F.lit(0.0))).first()[0]
     return np.where(masses[:, None] > 0, total / np.maximum(masses, 1)[:, None], 0.0), float(objective)
 
 

@@ -69,8 +69,8 @@ def two_means_nmse(spark, sf_dir):
 
 
 def two_means_converged(spark, sf_dir):
-    """Lloyd to convergence (64 steps are far beyond it at this length)."""
-    df = _rotated(spark, sf_dir).withColumn("m", quant.two_means(F.col("y"), 64))
+    """Lloyd to convergence."""
+    df = _rotated(spark, sf_dir).withColumn("m", quant.two_means(F.col("y"), None))
     return df.select("vec_id", "m.n0", "m.n1", _r("m.c0").alias("c0"), _r("m.c1").alias("c1"))
 
 
@@ -251,10 +251,10 @@ def rolling_metric(spark, sf_dir):
 
 
 def streaming_sketch(spark, sf_dir):
-    """The daily count sketches of the events, computed as a stream that is run until its input ends."""
+    """The daily count sketches of the events, computed as a stream that is run until its input ends; rows may be a month late."""
     batch = tables.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = sketches.run_once(sketches.windowed_sketch(stream, "user_id", "value", "ts", "1 day", "1 hour", 3, 31))
+    out = sketches.run_once(sketches.windowed_sketch(stream, "user_id", "value", "ts", "1 day", "31 days", 3, 31), ["window_start", "row", "bucket"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "row", "bucket", _r("value", 4).alias("value"))
 
 

@@ -24,17 +24,26 @@ def running_mean(messages: DataFrame, key: str, x: str) -> DataFrame:
     return messages.select(key, F.posexplode_outer(x).alias("i", "v")).where("i IS NOT NULL").groupBy(key, "i").agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
 
 
-def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Process all that is available and return the result, through the shared checkpoint folder.
+def run_once(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Process all that is available in update mode and return the latest row of each key, through the shared checkpoint folder.
 
-    Each batch of ``complete`` mode replaces the result; ``append`` adds to it.
+    A batch writes only what it changed, to a folder of its own, so a batch that runs again replaces what it wrote. Rows beyond the
+    watermark are dropped with their windows' state, as the delay of the stream says.
     """
     spark = stream.sparkSession
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/out")
+    written = []
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(write).start()
+    def write(batch: DataFrame, number: int) -> None:
+        written.append(number)
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    if not written:  # the input was empty
+        return spark.createDataFrame([], stream.schema)
+    rest = [c for c in stream.columns if c not in keys]
+    last = spark.read.schema(f"{kinds}, batch long").parquet(f"{place}/out").groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last"))
+    return last.select(*keys, "__last.*").select(*stream.columns)
