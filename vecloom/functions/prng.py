@@ -5,6 +5,9 @@ No generator state has to be kept in step between sender and receiver, and a tas
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +52,12 @@ def uniforms(entity, d: Column, stream: int, seed: int = SEED) -> Column:
     return _draws(stream, entity, d, UNIFORMS_EACH, _uniform_of, seed)
 
 
+def uniforms_array(entity, d: int, stream: int, seed: int = SEED) -> np.ndarray:
+    """The same draws on the driver."""
+    text = "".join(hashlib.md5(f"{seed}:{stream}:{entity}:{b}".encode()).hexdigest() for b in range(-(-d // UNIFORMS_EACH)))
+    return np.frombuffer(bytes.fromhex(text), ">u4")[:d] / 2**32
+
+
 def signs(entity, d: int, stream: int = ROTATION, seed: int = SEED) -> Column:
     """The diagonal of d signs that belongs to an entity: +1 or -1 with equal chances."""
     return _draws(stream, entity, F.lit(d), SIGNS_EACH, _sign_of, seed)

@@ -182,13 +182,24 @@ LARGEST_ROTATION = 1 << 11
 
 
 def haar_rotation(d: int, seed: int = prng.SEED) -> np.ndarray:
-    """A random special-orthogonal matrix, uniform by Haar's measure."""
+    """A special-orthogonal matrix, uniform by Haar's measure: the product of Householder reflections of hash-Gaussian vectors of d,
+    d - 1, ... coordinates, with the signs that make it the orthogonal factor of a Gaussian matrix, one of them turned on demand."""
     if d > LARGEST_ROTATION:
         raise ValueError(f"a uniform rotation of {d} coordinates is too large; use the Hadamard rotation")
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-    q = q * np.sign(np.diag(r))
-    if np.linalg.det(q) < 0:
-        q[:, 0] = -q[:, 0]
+    reflections, signs = [], np.ones(d)
+    for k in range(d):
+        u = prng.uniforms_array(f"urr-{d}-{k}", 2 * (d - k), prng.DATA, seed)
+        g = np.sqrt(-2 * np.log(1 - u[::2])) * np.cos(2 * np.pi * u[1::2])
+        own = -1.0 if g[0] < 0 else 1.0
+        signs[k] = own if k == d - 1 else -own
+        g[0] += own * np.linalg.norm(g)
+        reflections.append(g)
+    if np.prod(signs) * (-1) ** (d - 1) < 0:
+        signs[0] = -signs[0]
+    q = np.diag(signs)
+    for k in range(d - 2, -1, -1):
+        g = reflections[k]
+        q[k:, k:] -= np.outer(2 / (g @ g) * g, g @ q[k:, k:])
     return q
 
 

@@ -41,10 +41,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def start_centres(k: int, dim: int) -> np.ndarray:
     """Hash uniforms in [-1, 1)."""
-    import hashlib
-
-    u = lambda c, i: int(hashlib.md5(f"{prng.SEED}:{prng.INIT}:{c}:{i // 4}".encode()).hexdigest()[i % 4 * 8:][:8], 16) / 2**32
-    return np.array([[2 * u(c, i) - 1 for i in range(dim)] for c in range(k)])
+    return np.array([2 * prng.uniforms_array(c, dim, prng.INIT) - 1 for c in range(k)])
 
 
 def nearest(points: DataFrame, centres: np.ndarray, x: str = "x") -> DataFrame:

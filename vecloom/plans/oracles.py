@@ -16,19 +16,32 @@ def _u(stream: int, entity: str, i: str = "i") -> str:
     return f"(CAST('0x' || substr(md5('42:{stream}:' || {entity} || ':' || ({i} // 4)), CAST({i} % 4 * 8 + 1 AS INTEGER), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
 
+#: Index bits that one matrix product of a longer transform covers: H of 2^(a+b) is the Kronecker product of H of 2^a and of 2^b.
+_BLOCK_BITS = 5
+
+
 def _transform(name: str, source: str, value: str, keys: str, d: int, settled: bool = True) -> str:
-    """name(keys, i, y): Walsh-Hadamard transform of source(keys, i, value)."""
-    inner = f"sum(t.{value} * {_h('t.i', 'b.i')}) * (1 / sqrt(CAST({d} AS DOUBLE)))"
+    """name(keys, i, y): Walsh-Hadamard transform of source(keys, i, value); beyond 128 coordinates in blocks of index bits."""
     k = ", ".join(f"t.{c.strip()}" for c in keys.split(","))
-    return f"{name} AS (SELECT {k}, b.i AS i, {f'round_even({inner} * 1e9, 0) / 1e9' if settled else inner} AS y FROM {source} t, range({d}) b(i) GROUP BY {k}, b.i)"
+    bits, parts, low = d.bit_length() - 1, [], 0
+    while True:
+        take = bits - low if d <= 128 else min(_BLOCK_BITS, bits - low)
+        last = low + take == bits
+        own = f"((t.i >> {low}) & {(1 << take) - 1})"
+        at = f"(t.i - ({own} << {low}) + (b.i << {low}))"
+        inner = f"sum(t.{value} * {_h(own, 'b.i')})" + (f" * (1 / sqrt(CAST({d} AS DOUBLE)))" if last else "")
+        parts.append(f"{name if last else f'{name}_{low}'} AS (SELECT {k}, {at} AS i, {f'round_even({inner} * 1e9, 0) / 1e9' if settled and last else inner} AS y FROM {source} t, range({1 << take}) b(i) GROUP BY {k}, {at})")
+        if last:
+            return ", ".join(parts)
+        source, value, low = f"{name}_{low}", "y", low + take
 
 
-def _rotated(n: int = 1, d: int = D) -> str:
-    return ", ".join([_VECTORS.format(n=n), _SIGNS.format(n=n, d=d), f"r AS (SELECT vec_id, label, client, i, x * s AS x FROM v JOIN sg{d} USING (client, i))", _transform("y", "r", "x", "vec_id, label, client", d)])
+def _rotated(n: int = 1, d: int = D, vectors: str | None = None) -> str:
+    return ", ".join([vectors or _VECTORS.format(n=n), _SIGNS.format(n=n, d=d), f"r AS (SELECT vec_id, label, client, i, x * s AS x FROM v JOIN sg{d} USING (client, i))", _transform("y", "r", "x", "vec_id, label, client", d)])
 
 
 _SCALE = "m AS (SELECT vec_id, client, CASE WHEN sum(abs(y)) = 0 THEN 0 ELSE sum(y * y) / sum(abs(y)) END AS scale FROM y GROUP BY vec_id, client)"
-_SIGN_Q = "q AS (SELECT y.vec_id, y.label, y.client, y.i, CASE WHEN y < 0 THEN -scale ELSE scale END AS q FROM y JOIN m ON m.vec_id = y.vec_id AND m.client = y.client)"
+_SIGN_Q = "q AS (SELECT y.vec_id, y.label, y.client, y.i, CASE WHEN y < 0 THEN -scale ELSE scale END AS q FROM y JOIN m USING (vec_id, client))"
 
 
 def _two_means(rounds: int, source: str = "y", key: str = "vec_id, client") -> list[str]:
@@ -48,12 +61,12 @@ def _energy(t: str) -> str:
     return f"({t}.n0 * {t}.c0 * {t}.c0 + {t}.n1 * {t}.c1 * {t}.c1)"
 
 
-def _decoded(n: int = 1, d: int = D, keys: str = "vec_id, label, client") -> str:
-    return ", ".join([_transform("z", "q", "q", keys, d, False), f"h AS (SELECT {keys}, i, y * s AS xh FROM z JOIN sg{d} USING (client, i) WHERE i < {D})"])
+def _decoded(n: int = 1, d: int = D, keys: str = "vec_id, label, client", length: int = D) -> str:
+    return ", ".join([_transform("z", "q", "q", keys, d, False), f"h AS (SELECT {keys}, i, y * s AS xh FROM z JOIN sg{d} USING (client, i) WHERE i < {length})"])
 
 
 _COMPARE = f"SELECT v.vec_id, round({_NMSE.format(x='v.x', h='h.xh')}, 6) + 0.0 AS nmse, round(sum(h.xh), 4) + 0.0 AS total FROM v JOIN h ON h.vec_id = v.vec_id AND h.i = v.i GROUP BY v.vec_id"
-_TWO_Q = "w AS (SELECT y.vec_id, y.client, CASE WHEN {e} = 0 THEN 0 ELSE sum(y * y) / {e} END AS f FROM y JOIN {t} ON {t}.vec_id = y.vec_id GROUP BY y.vec_id, y.client, {t}.n0, {t}.n1, {t}.c0, {t}.c1), q AS (SELECT y.vec_id, y.label, y.client, y.i, CASE WHEN {up} THEN f * {t}.c1 ELSE f * {t}.c0 END AS q FROM y JOIN {t} ON {t}.vec_id = y.vec_id JOIN w ON w.vec_id = y.vec_id)"
+_TWO_Q = "w AS (SELECT y.vec_id, y.client, CASE WHEN {e} = 0 THEN 0 ELSE sum(y * y) / {e} END AS f FROM y JOIN {t} USING (vec_id, client) GROUP BY y.vec_id, y.client, {t}.n0, {t}.n1, {t}.c0, {t}.c1), q AS (SELECT y.vec_id, y.label, y.client, y.i, CASE WHEN {up} THEN f * {t}.c1 ELSE f * {t}.c0 END AS q FROM y JOIN {t} USING (vec_id, client) JOIN w USING (vec_id, client))"
 
 
 def _two_q(t: str, up: str) -> str:
@@ -61,21 +74,21 @@ def _two_q(t: str, up: str) -> str:
 
 
 _SPLIT = "t AS (SELECT vec_id, client, cut, n0, n - n0 AS n1, CASE WHEN n0 = 0 OR n0 = n THEN s / n ELSE s0 / n0 END AS c0, CASE WHEN n0 = 0 OR n0 = n THEN s / n ELSE (s - s0) / (n - n0) END AS c1 FROM (SELECT vec_id, client, cut, n, s, count(*) FILTER (y <= cut) AS n0, coalesce(sum(y) FILTER (y <= cut), 0) AS s0 FROM (SELECT *, sum(y) OVER w AS s, count(*) OVER w AS n, sum(y) OVER w / count(*) OVER w AS cut FROM y WINDOW w AS (PARTITION BY vec_id)) GROUP BY vec_id, client, cut, n, s))"
-_LEVELS = "rg AS (SELECT vec_id, client, min(y) AS low, max(y) - min(y) AS span FROM y GROUP BY vec_id, client), p AS (SELECT y.vec_id, y.label, y.client, y.i, low, span, CASE WHEN span = 0 THEN 0 ELSE (y - low) / span END AS p FROM y JOIN rg ON rg.vec_id = y.vec_id), q AS (SELECT vec_id, label, client, i, low + span * (floor(p) + CASE WHEN " + _u(1, "client || '.' || vec_id") + " < p - floor(p) THEN 1 ELSE 0 END) AS q FROM p)"
+_LEVELS = "rg AS (SELECT vec_id, client, min(y) AS low, max(y) - min(y) AS span FROM y GROUP BY vec_id, client), p AS (SELECT y.vec_id, y.label, y.client, y.i, low, span, CASE WHEN span = 0 THEN 0 ELSE (y - low) / span END AS p FROM y JOIN rg USING (vec_id, client)), q AS (SELECT vec_id, label, client, i, low + span * (floor(p) + CASE WHEN " + _u(1, "client || '.' || vec_id") + " < p - floor(p) THEN 1 ELSE 0 END) AS q FROM p)"
 
 _LEVELS_4 = _LEVELS.replace("(y - low) / span END AS p", "(y - low) / span END * 15 AS p").replace("span * (floor(p)", "span / 15 * (floor(p)")
 
 
-def _kashin() -> str:
-    p = 128
-    parts = [_VECTORS.format(n=1), _SIGNS.format(n=1, d=p), f"r0 AS (SELECT e.vec_id, e.label, e.client, g.i, coalesce(v.x, 0) AS x FROM (SELECT DISTINCT vec_id, label, client FROM v) e, range({p}) g(i) LEFT JOIN v ON v.vec_id = e.vec_id AND v.i = g.i)",
-             f"m0 AS (SELECT vec_id, sqrt(sum(x * x)) / sqrt(CAST({p} AS DOUBLE)) AS m FROM v GROUP BY vec_id)"]
+def _kashin(d: int = D, n: int = 1, vectors: str | None = None) -> str:
+    p = 2 * d
+    parts = [vectors or _VECTORS.format(n=n), _SIGNS.format(n=n, d=p), f"r0 AS (SELECT e.vec_id, e.label, e.client, g.i, coalesce(v.x, 0) AS x FROM (SELECT DISTINCT vec_id, label, client FROM v) e, range({p}) g(i) LEFT JOIN v ON v.vec_id = e.vec_id AND v.client = e.client AND v.i = g.i)",
+             f"m0 AS (SELECT vec_id, client, sqrt(sum(x * x)) / sqrt(CAST({p} AS DOUBLE)) AS m FROM v GROUP BY vec_id, client)"]
     for k in range(3):
         parts += [f"d{k} AS (SELECT vec_id, label, client, i, x * s AS x FROM r{k} JOIN sg{p} USING (client, i))", _transform(f"f{k}", f"d{k}", "x", "vec_id, label, client", p, False),
-                  f"c{k} AS (SELECT f.vec_id, label, client, i, greatest(-m * {0.9**k!r}, least(m * {0.9**k!r}, y)) AS y FROM f{k} f JOIN m0 ON m0.vec_id = f.vec_id)"]
+                  f"c{k} AS (SELECT vec_id, label, client, i, greatest(-m * {0.9**k!r}, least(m * {0.9**k!r}, y)) AS y FROM f{k} f JOIN m0 USING (vec_id, client))"]
         if k < 2:
-            parts += [_transform(f"g{k}", f"c{k}", "y", "vec_id, label, client", p, False), f"r{k + 1} AS (SELECT a.vec_id, a.label, a.client, a.i, a.x - b.y * s AS x FROM r{k} a JOIN g{k} b ON a.vec_id = b.vec_id AND a.i = b.i JOIN sg{p} g ON g.client = a.client AND g.i = a.i)"]
-    parts += ["y AS (SELECT vec_id, label, client, i, round_even(sum(y) * 1e9, 0) / 1e9 AS y FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY vec_id, label, client, i)", _LEVELS, _decoded(1, p)]
+            parts += [_transform(f"g{k}", f"c{k}", "y", "vec_id, label, client", p, False), f"r{k + 1} AS (SELECT a.vec_id, a.label, a.client, a.i, a.x - b.y * s AS x FROM r{k} a JOIN g{k} b ON a.vec_id = b.vec_id AND a.client = b.client AND a.i = b.i JOIN sg{p} g ON g.client = a.client AND g.i = a.i)"]
+    parts += ["y AS (SELECT vec_id, label, client, i, round_even(sum(y) * 1e9, 0) / 1e9 AS y FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY vec_id, label, client, i)", _LEVELS, _decoded(n, p, length=d)]
     return ", ".join(parts)
 
 
@@ -178,16 +191,66 @@ def _federated(codec: str, weighted: bool) -> str:
     return f"WITH {', '.join(parts)} SELECT CAST(i // {D + 1} AS INTEGER) AS cluster, CAST(i % {D + 1} AS INTEGER) AS i, round(-({mean}), 6) + 0.0 AS value FROM h JOIN n USING (client) WHERE h.i < {10 * (D + 1)} GROUP BY h.i"
 
 
+def _synthetic(dist: str, d: int, trials: int, n: int = 1) -> str:
+    """v: hash-random vectors, the same for each of n clients."""
+    e = f"'{dist}-{d}-' || t"
+    normal = f"sqrt(-2 * ln(1 - {_u(2, e, '(2 * i)')})) * cos(2 * pi() * {_u(2, e, '(2 * i + 1)')})"
+    x = {"lognormal": f"exp({normal})", "normal": normal, "exponential": f"-ln(1 - {_u(2, e)})"}[dist]
+    return f"v0 AS (SELECT t AS vec_id, 0 AS label, i, {x} AS x FROM range({trials}) p(t), range({d}) q(i)), v AS MATERIALIZED (SELECT vec_id, label, CAST(c AS INTEGER) AS client, i, x FROM v0, range({n}) a(c))"
+
+
+_TERNARY = f"""a AS (SELECT vec_id, client, max(abs(x)) AS a FROM v GROUP BY vec_id, client),
+h AS (SELECT vec_id, label, client, i, a * CASE WHEN {_u(1, "client || '.' || vec_id")} < CASE WHEN a = 0 THEN 0 ELSE abs(x) / a END THEN sign(x) ELSE 0 END AS xh FROM v JOIN a USING (vec_id, client))"""
+
+
+def _codec(name: str, d: int, vectors: str, n: int = 1) -> str:
+    """v and h(vec_id, label, client, i, xh): the vectors (d a power of two) and their decoded messages."""
+    if name == "terngrad":
+        return f"{vectors}, {_TERNARY}"
+    if name == "kashin_sq":
+        return _kashin(d, n, vectors)
+    quantised = {"sign": f"{_SCALE}, {_SIGN_Q}", "two_means": f"{', '.join(_two_means(3))}, {_two_q('t3', 'y >= t3.cut')}", "hadamard_sq": _LEVELS}[name]
+    return f"{_rotated(n, d, vectors)}, {quantised}, {_decoded(n, d, length=d)}"
+
+
+def _report() -> str:
+    names = ("sign", "two_means", "hadamard_sq", "kashin_sq", "terngrad")
+    one = [f"SELECT {d} AS dim, '{c}' AS codec, avg(nmse) AS nmse FROM (WITH {_codec(c, d, _synthetic('lognormal', d, 50))} SELECT v.vec_id, {_NMSE.format(x='v.x', h='h.xh')} AS nmse FROM v JOIN h USING (vec_id, i) GROUP BY v.vec_id)" for d in (16, 64, 128) for c in names]
+    cells = ", ".join(f"round(max(nmse) FILTER (codec = '{c}'), 6) + 0.0 AS {c}" for c in names)
+    return f"SELECT dim, {cells} FROM ({' UNION ALL '.join(one)}) GROUP BY dim"
+
+
+def _table() -> str:
+    one = []
+    for d in (128, 1024, 8192):
+        for c in ("sign", "two_means", "hadamard_sq", "kashin_sq"):
+            one.append(f"SELECT {d} AS dim, '{c}' AS codec, nmse FROM (WITH {_codec(c, d, _synthetic('lognormal', d, 10, 10), 10)}, e AS (SELECT vec_id, i, avg(xh) AS xh FROM h GROUP BY vec_id, i) SELECT vec_id, {_NMSE.format(x='v0.x', h='e.xh')} AS nmse FROM v0 JOIN e USING (vec_id, i) GROUP BY vec_id)")
+    return f"SELECT dim, codec, round(avg(nmse), 5) + 0.0 AS mean, round(stddev_samp(nmse), 5) + 0.0 AS std, count(*) AS trials FROM ({' UNION ALL '.join(one)}) GROUP BY dim, codec"
+
+
 def _figure() -> str:
     one = []
     for dist in ("lognormal", "normal", "exponential"):
-        for d in (4, 16, 64):
-            e = f"'{dist}-{d}-' || t"
-            normal = f"sqrt(-2 * ln(1 - {_u(2, e, '(2 * i)')})) * cos(2 * pi() * {_u(2, e, '(2 * i + 1)')})"
-            x = {"lognormal": f"exp({normal})", "normal": normal, "exponential": f"-ln(1 - {_u(2, e)})"}[dist]
-            one.append(f"""SELECT '{dist}' AS distribution, {d} AS dim, {d} * sum(y * y) / (sum(abs(y)) * sum(abs(y))) - 1 AS nmse FROM (
-SELECT t, b.i, round_even(sum(x * {_h('a.i', 'b.i')}) * (1 / sqrt(CAST({d} AS DOUBLE))) * 1e9, 0) / 1e9 AS y FROM (SELECT t, i, {x} * CASE WHEN substr(md5('42:0:0:' || (i // 32)), CAST(i % 32 + 1 AS INTEGER), 1) < '8' THEN 1 ELSE -1 END AS x FROM range(40) p(t), range({d}) q(i)) a, range({d}) b(i) GROUP BY t, b.i) GROUP BY t""")
-    return f"SELECT distribution, dim, round(avg(nmse), 5) + 0.0 AS mean, round(stddev_samp(nmse), 5) + 0.0 AS std FROM ({' UNION ALL '.join(one)}) GROUP BY distribution, dim"
+        for d in (2**k for k in range(2, 12)):
+            energy = _energy("t3")
+            one.append(f"""SELECT '{dist}' AS distribution, {d} AS dim, unnest(['sign', 'two_means']) AS codec, unnest([a, b]) AS nmse FROM (WITH {_rotated(1, d, _synthetic(dist, d, 40))}, {', '.join(_two_means(3))}
+SELECT vec_id, {d} * sum(y * y) / (sum(abs(y)) * sum(abs(y))) - 1 AS a, sum(y * y) / {energy} - 1 AS b FROM y JOIN t3 USING (vec_id, client) GROUP BY vec_id, t3.n0, t3.n1, t3.c0, t3.c1)""")
+    return f"SELECT distribution, dim, codec, round(avg(nmse), 5) + 0.0 AS mean, round(stddev_samp(nmse), 5) + 0.0 AS std FROM ({' UNION ALL '.join(one)}) GROUP BY distribution, dim, codec"
+
+
+def _uniform_rotation(tail: str) -> str:
+    """exact and, settled, y: the embeddings after a product of Householder reflections of hash-Gaussian vectors, each a step of the recursion."""
+    e = f"'urr-{D}-' || k"
+    normal = f"sqrt(-2 * ln(1 - {_u(2, e, '(2 * j)')})) * cos(2 * pi() * {_u(2, e, '(2 * j + 1)')})"
+    return f"""WITH RECURSIVE {_VECTORS.format(n=1)}, g AS (SELECT k, k + j AS i, {normal} AS g FROM range({D}) a(k), range({D}) b(j) WHERE j < {D} - k),
+f AS (SELECT k, CASE WHEN arg_min(g, i) < 0 THEN -1 ELSE 1 END AS s, sqrt(sum(g * g)) AS n FROM g GROUP BY k),
+o AS (SELECT CASE WHEN count(*) FILTER (k < {D - 1} AND s > 0 OR k = {D - 1} AND s < 0) % 2 = {(D - 1) % 2} THEN 1 ELSE -1 END AS o FROM f),
+u AS MATERIALIZED (SELECT k, list(CASE WHEN x.i < k THEN 0 WHEN x.i = k THEN g + s * n ELSE g END ORDER BY x.i) AS u FROM (SELECT k, i, s, n FROM f, range({D}) c(i) WHERE k < {D - 1}) x LEFT JOIN g USING (k, i) GROUP BY k),
+d AS (SELECT k AS i, CASE WHEN k = {D - 1} THEN s ELSE -s END * CASE WHEN k = 0 THEN o ELSE 1 END AS s FROM f, o),
+p AS (SELECT vec_id, {D - 1} AS k, list(x * s ORDER BY i) AS x FROM v JOIN d USING (i) GROUP BY vec_id
+UNION ALL SELECT vec_id, k, list_transform(list_zip(x, u), lambda z: z[1] - c * z[2]) FROM (SELECT p.vec_id, p.x, u.k, u.u, 2 * list_dot_product(p.x, u.u) / list_dot_product(u.u, u.u) AS c FROM p JOIN u ON u.k = p.k - 1)),
+y AS MATERIALIZED (SELECT vec_id, 0 AS label, 0 AS client, unnest(range({D})) AS i, unnest(x) AS exact, round_even(unnest(x) * 1e9, 0) / 1e9 AS y FROM p WHERE k = 0), {tail}
+SELECT vec_id, round({_NMSE.format(x='exact', h='q')}, 6) + 0.0 AS nmse FROM y JOIN q USING (vec_id, i) GROUP BY vec_id"""
 
 
 _HIST = "n AS (SELECT bits, normalisation, level, count(*) AS n FROM q GROUP BY ALL)"
@@ -228,6 +291,9 @@ ORACLE_SQL = {
     "kmeans_round": _kmeans(1), "kmeans_3_rounds": _kmeans(3), "kmeans_round_sign": _kmeans(1, "sign"), "kmeans_round_two_means": _kmeans(1, "two_means"),
     "power_iteration_2": _power(2, "identity", 1.0), "power_iteration_feedback_2": _power(2, "sign", 0.5),
     "federated_round": _federated("identity", True), "federated_round_unweighted": _federated("identity", False), "federated_round_sign": _federated("sign", True),
-    "figure_nmse": _figure(),
+    "figure_nmse": _figure(), "codec_report": _report(), "table_nmse": _table(),
+    "urr_sign": _uniform_rotation(f"{_SCALE}, {_SIGN_Q}"), "urr_two_means": _uniform_rotation(f"{', '.join(_two_means(3))}, {_two_q('t3', 'y >= t3.cut')}"),
+    # what a symbol costs in all is the sum of the merged weights
+    "huffman_bits": _grid(f", {_HIST}, h AS (SELECT bits, normalisation, list_sort(list(n)) AS w, CAST(CASE WHEN count(*) = 1 THEN sum(n) ELSE 0 END AS BIGINT) AS cost, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY bits, normalisation UNION ALL SELECT bits, normalisation, list_sort(list_append(w[3:], w[1] + w[2])), cost + w[1] + w[2], total FROM h WHERE len(w) > 1) SELECT bits, normalisation, round(cost / total, 6) + 0.0 AS bits_per_coordinate FROM h WHERE len(w) = 1").replace("WITH ", "WITH RECURSIVE ", 1),
     "rolling_metric": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY 1, 2) SELECT event_type, hour, round(CASE WHEN count(cents) OVER w = 24 THEN avg(cents) OVER w END, 6) + 0.0 AS rolling FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)",
 }

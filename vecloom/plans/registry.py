@@ -235,14 +235,18 @@ def codec_report(spark, sf_dir):
 
 
 def figure_nmse(spark, sf_dir):
-    """Closed-form NMSE of the sign codec by distribution and dimension."""
+    """Closed-form NMSE of the sign and the two-means codec by distribution and dimension, 4 to 2048, over 40 vectors each."""
     out = None
-    for dist in ("lognormal", "normal", "exponential"):
-        for d in (4, 16, 64):
-            y = codecs.rotate(tables.synthetic(spark, dist, d, 40).withColumn("client", F.lit(0)), "x", "y", d)
-            part = y.select(F.lit(dist).alias("distribution"), F.lit(d).alias("dim"), estimate.sign_nmse(F.col("y")).alias("nmse"))
-            out = part if out is None else out.unionByName(part)
-    return estimate.trials(out, ["distribution", "dim"]).select("distribution", "dim", _r("mean", 5).alias("mean"), _r("std", 5).alias("std"))
+    for d in (2**k for k in range(2, 12)):
+        v = None
+        for dist in ("lognormal", "normal", "exponential"):
+            part = tables.synthetic(spark, dist, d, 40).select(F.lit(dist).alias("distribution"), F.lit(0).alias("client"), "x")
+            v = part if v is None else v.unionByName(part)
+        y = vec.held(codecs.rotate(v, "x", "y", d), "m", quant.two_means(F.col("y")))
+        each = F.array(F.struct(F.lit("sign").alias("codec"), estimate.sign_nmse(F.col("y")).alias("nmse")), F.struct(F.lit("two_means").alias("codec"), estimate.two_means_nmse(F.col("y"), F.col("m")).alias("nmse")))
+        rows = y.select("distribution", F.lit(d).alias("dim"), F.inline(each))
+        out = rows if out is None else out.unionByName(rows)
+    return estimate.trials(out, ["distribution", "dim", "codec"]).select("distribution", "dim", "codec", _r("mean", 5).alias("mean"), _r("std", 5).alias("std"))
 
 
 def rolling_metric(spark, sf_dir):
