@@ -74,6 +74,39 @@ def test_size_gate(spark):
     assert np.array_equal(*small) and not np.allclose(*large)
 
 
+def test_size_gate_by_row(spark):
+    df = spark.createDataFrame([(0, 0, [1.0, -2.0]), (1, 0, [3.0] * 4), (2, 0, None), (3, 0, [])], "vec_id long, client int, x array<double>")
+    got = {r.vec_id: r.xhat for r in codecs.size_gated(df, "sign", 8, threshold=2).collect()}
+    assert got[0] == [1.0, -2.0] and len(got[1]) == 4 and got[2] is None and got[3] == []
+
+
+def test_packed_messages(spark):
+    df = vectors(spark, np.vstack([np.random.default_rng(4).normal(size=(4, 100)), np.zeros((1, 100))]))
+    sent = codecs.terngrad_encode(df, 100, row="vec_id")
+    packed = codecs.packed_ternary(sent, 100)
+    assert [len(r.msg.words) + len(r.msg.signs) for r in packed.collect()] == [4] * 5
+    assert [r.msg.bits for r in codecs.unpacked_ternary(packed, 100).orderBy("vec_id").collect()] == [r.msg.bits for r in sent.orderBy("vec_id").collect()]
+
+
+def test_coin_of_zeros(spark):
+    y = np.array([[0.0] * 256, [1.0, -1.0] * 128])
+    rows = vectors(spark, y).withColumn("b", quant.sign_bits_random_zero(F.col("x"), F.col("vec_id"))).orderBy("vec_id").collect()
+    assert 90 < sum(rows[0].b) < 166 and rows[1].b == [1, 0] * 128
+
+
+def test_specs_of_variables(spark):
+    g = spark.createDataFrame([(1, 5.0), (1, 1.0), (2, -9.0), (None, 1.0)], "key long, value double")
+    update, state = sketch.spec_step({"small": None, "large": {"rows": 5, "cols": 97, "momentum": 0.9, "lr": 1.0, "k": 1}}, {}, {"small": g, "large": g})
+    assert {(r.variable, r.key, r.value) for r in update.collect()} == {("small", 1, 6.0), ("small", 2, -9.0), ("large", 2, -9.0)} and set(state) == {"large"}
+
+
+def test_training_learns(spark):
+    rows = [(i, i % 2, i % 2, [1.0 if i % 2 else -1.0, 0.3]) for i in range(12)]
+    points = spark.createDataFrame(rows, "vec_id long, client int, label int, x array<double>")
+    _, history = workloads.training(points, 2, 2, 2, "identity")
+    assert history[-1] == 100.0
+
+
 def test_sketch_is_linear(spark):
     a = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
     b = spark.range(100, 300).select(F.col("id").alias("k"), F.lit(2.0).alias("v"))

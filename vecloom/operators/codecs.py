@@ -165,6 +165,31 @@ def unpacked(df: DataFrame, d: int) -> DataFrame:
     return df.withColumn("msg", F.col("msg").withField("bits", quant.unpack(F.col("msg.words"), d)).dropFields("words"))
 
 
+def packed_ternary(df: DataFrame, d: int) -> DataFrame:
+    """A ternary message with its magnitudes and its signs as 64-bit words each."""
+    m = F.col("msg")
+    ones = lambda test: quant.pack(F.transform(m["bits"], lambda b: test(b).cast("int")), d)
+    return df.withColumn("msg", m.withField("words", ones(lambda b: b != 0)).withField("signs", ones(lambda b: b > 0)).dropFields("bits"))
+
+
+def unpacked_ternary(df: DataFrame, d: int) -> DataFrame:
+    m = F.col("msg")
+    bits = F.zip_with(quant.unpack(m["words"], d), quant.unpack(m["signs"], d), lambda b, s: b * (2 * s - 1))
+    return df.withColumn("msg", m.withField("bits", bits).dropFields("words", "signs"))
+
+
+def coin_encode(df: DataFrame, d: int, x: str = "x", entity: str = "client", row: str | None = None) -> DataFrame:
+    """The sign codec whose zeros fall by a fair coin, scaled by the squared norm over the inner product with the decoded signs, its
+    bits packed."""
+    df = rotate(df, x, "__y", d, entity).withColumn("__b", quant.sign_bits_random_zero(F.col("__y"), _rounding(entity, row)))
+    df = df.withColumn("msg", F.struct(quant.unbiased_scale(F.col("__y"), quant.signs_of(F.col("__b"))).alias("scale"), F.col("__b").alias("bits")))
+    return packed(df, vec.next_power(d)).drop("__y", "__b")
+
+
+def coin_decode(df: DataFrame, d: int, entity: str = "client") -> DataFrame:
+    return sign_decode(unpacked(df, vec.next_power(d)), d, entity)
+
+
 def encode_seconds(df: DataFrame, name: str, d: int, repeats: int = 3, **columns) -> float:
     """Median wall-clock seconds of encoding all of df, without writing it anywhere."""
     took = []
@@ -229,6 +254,7 @@ def urr_decode(df: DataFrame, matrix: np.ndarray, two_level: bool = False) -> Da
 CODECS = {c.name: c for c in (
     Codec("identity", identity_encode, identity_decode, True, lambda d: 64.0),
     Codec("sign", sign_encode, sign_decode),
+    Codec("sign_coin", coin_encode, coin_decode),
     Codec("two_means", two_means_encode, two_level_decode),
     Codec("split_at_mean", split_encode, two_level_decode),
     Codec("hadamard_sq", hadamard_encode, hadamard_decode),
@@ -253,7 +279,10 @@ def round_trip(df: DataFrame, name: str, d: int, x: str = "x", entity: str = "cl
     return c.decode(c.encode(df, d, x=x, entity=entity, row=row), d, entity=entity)
 
 
-def size_gated(df: DataFrame, name: str, d: int, threshold: int = 10_000, **columns) -> DataFrame:
-    """The codec for vectors of more than ``threshold`` coordinates, the identity for others: their length is a property of the
-    variable, so the choice is made once for the frame."""
-    return round_trip(df, name if d > threshold else "identity", d, **columns)
+def size_gated(df: DataFrame, name: str, d: int, threshold: int = 10_000, x: str = "x", **columns) -> DataFrame:
+    """xhat by the codec (over d coordinates) for vectors of more than ``threshold`` coordinates, by the identity for all others;
+    vectors may be shorter than d and come back as long as they were. Map-only."""
+    above = F.coalesce(F.size(x) > threshold, F.lit(False))
+    coded = round_trip(df.where(above), name, d, x=x, **columns).withColumn("xhat", F.slice("xhat", F.lit(1), F.size(x)))
+    plain = round_trip(df.where(~above), "identity", d, x=x, **columns)
+    return coded.drop("msg").unionByName(plain.drop("msg"))

@@ -92,3 +92,25 @@ def fetch_step(momentum: DataFrame, error: DataFrame, gradient: DataFrame, keys:
     update = abs_top_k(unsketch(e, keys, key, rows, cols), key, "estimate", k).select(key, F.col("estimate").alias("value"))
     hit = sketch(update, key, "value", rows, cols).where("value <> 0").select("row", "bucket")
     return update, m, e.join(hit, ["row", "bucket"], "left_anti")
+
+
+def spec_step(specs: dict[str, dict | None], state: dict[str, tuple[DataFrame, DataFrame]], gradients: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]]]:
+    """One server step over several variables: (update (variable, key, value), state by variable).
+
+    ``gradients`` hold (key, value); a variable without a spec passes its summed gradient through, the others take a sketched step
+    with their own table and the (momentum, error) that ``state`` holds for them.
+    """
+    updates, after = None, {}
+    for name, g in gradients.items():
+        s = specs[name]
+        if s is None:
+            part = g.where("key IS NOT NULL AND value IS NOT NULL").groupBy("key").agg(F.sum("value").alias("value"))
+        else:
+            table = sketch(g, "key", "value", s["rows"], s["cols"])
+            empty = table.where(F.lit(False))
+            m, e = state.get(name, (empty, empty))
+            part, m, e = fetch_step(m, e, table, g, "key", s["rows"], s["cols"], s["k"], s["momentum"], s["lr"])
+            after[name] = (m, e)
+        part = part.select(F.lit(name).alias("variable"), "key", "value")
+        updates = part if updates is None else updates.unionByName(part)
+    return updates, after

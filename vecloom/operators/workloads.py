@@ -152,8 +152,8 @@ def softmax_gradients(points: DataFrame, weights: np.ndarray, label: str = "labe
     return vectors_of(means, ["client"], "v").join(points.groupBy("client").agg(F.count(F.lit(1)).alias("n")), "client")
 
 
-def federated_round(points: DataFrame, weights: np.ndarray, codec: str = "identity", lr: float = 1.0, weighted: bool = True) -> np.ndarray:
-    """New weights after one round: clients encode their negated change, the server takes the (weighted) mean of what it decodes."""
+def mean_gradient(points: DataFrame, weights: np.ndarray, codec: str = "identity", weighted: bool = True) -> np.ndarray:
+    """What the server decodes: the (weighted) mean of the clients' encoded gradients."""
     from .estimate import mean_estimate
 
     size = weights.size
@@ -161,7 +161,22 @@ def federated_round(points: DataFrame, weights: np.ndarray, codec: str = "identi
     sent = softmax_gradients(points, weights).withColumn("x", vec.pad(F.col("x"), p))
     mean = mean_estimate(codecs.round_trip(sent, codec, p), [], "xhat", "n" if weighted else None)
     found = {r.i: r["mean"] for r in mean.where(F.col("i") < size).collect()}
-    return weights - lr * np.array([found.get(i, 0.0) for i in range(size)]).reshape(weights.shape)
+    return np.array([found.get(i, 0.0) for i in range(size)]).reshape(weights.shape)
+
+
+def federated_round(points: DataFrame, weights: np.ndarray, codec: str = "identity", lr: float = 1.0, weighted: bool = True) -> np.ndarray:
+    """New weights after one round: clients encode their negated change, the server takes the (weighted) mean of what it decodes."""
+    return weights - lr * mean_gradient(points, weights, codec, weighted)
+
+
+def training(points: DataFrame, classes: int, dim: int, rounds: int, codec: str = "identity", lr: float = 0.1, momentum: float = 0.9, decay: float = 5e-4) -> tuple[np.ndarray, list[float]]:
+    """Weights of a softmax regression after ``rounds`` of momentum steps by the decoded mean gradient, and the accuracy after each."""
+    weights = velocity = np.zeros((classes, dim + 1))
+    history = []
+    for _ in range(rounds):
+        weights, velocity = sgd_step(weights, mean_gradient(points, weights, codec), velocity, lr, momentum, decay)
+        history.append(accuracy(points, weights))
+    return weights, history
 
 
 def sgd_step(parameters: np.ndarray, gradient: np.ndarray, velocity: np.ndarray, lr: float, momentum: float = 0.9, decay: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:

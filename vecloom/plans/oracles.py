@@ -141,7 +141,7 @@ e2 AS (SELECT row, bucket, sum(value) AS value FROM (SELECT * FROM k1 UNION ALL
 SELECT user_id, round(estimate, 4) + 0.0 AS value FROM x2 ORDER BY abs(estimate) DESC, user_id LIMIT 10"""
 
 
-def _kmeans(rounds: int, codec: str = "identity") -> str:
+def _kmeans(rounds: int, codec: str = "identity", tail: str | None = None) -> str:
     parts = [_VECTORS.format(n=10), f"k0 AS (SELECT c, i, 2 * {_u(3, 'c')} - 1 AS z FROM range(10) a(c), range({D}) b(i))"]
     for k in range(rounds):
         parts += [f"e{k} AS (SELECT vec_id, client, c, round(sum((x - z) * (x - z)), 12) AS dist FROM v JOIN k{k} USING (i) GROUP BY vec_id, client, c)",
@@ -157,10 +157,12 @@ def _kmeans(rounds: int, codec: str = "identity") -> str:
             parts += [_transform("z", "q", "q", "client", 1024, False)]
             total = "(SELECT z.i, sum(y * s) AS x FROM z JOIN sg1024 USING (client, i) GROUP BY z.i)"
         parts.append(f"k{k + 1} AS (SELECT c, b.i, CASE WHEN coalesce(mass, 0) = 0 THEN 0 ELSE coalesce(t.x, 0) / mass END AS z FROM range(10) a(c) CROSS JOIN range({D}) b(i) LEFT JOIN n{k} USING (c) LEFT JOIN {total} t ON t.i = c * {D} + b.i)")
+    if tail:
+        return f"WITH {', '.join(parts)} {tail}"
     return f"WITH {', '.join(parts)} SELECT CAST(c AS INTEGER) AS cluster, CAST(i AS INTEGER) AS i, round(z, 6) + 0.0 AS value FROM k{rounds}"
 
 
-def _power(rounds: int, codec: str, lr: float) -> str:
+def _power(rounds: int, codec: str, lr: float, tail: str | None = None) -> str:
     parts = [_VECTORS.format(n=10), _SIGNS.format(n=10, d=D), "mu AS (SELECT i, avg(x) AS m FROM v GROUP BY i)", "c AS (SELECT vec_id, client, v.i, x - m AS x FROM v JOIN mu USING (i))",
              f"w0 AS (SELECT i, 1 / sqrt(CAST({D} AS DOUBLE)) AS w FROM range({D}) a(i))", f"s0 AS (SELECT CAST(k AS INTEGER) AS client, i, CAST(0 AS DOUBLE) AS st FROM range(10) a(k), range({D}) b(i))"]
     for k in range(rounds):
@@ -174,6 +176,8 @@ def _power(rounds: int, codec: str, lr: float) -> str:
             parts.append(f"h{k} AS (SELECT * FROM x{k})")
         parts += [f"s{k + 1} AS (SELECT client, i, st + {lr} * h.x AS st FROM s{k} JOIN h{k} h USING (client, i))", f"u{k} AS (SELECT i, sum(st) AS u FROM s{k + 1} GROUP BY i)",
                   f"w{k + 1} AS (SELECT i, u / sqrt(sum(u * u) OVER ()) AS w FROM u{k})"]
+    if tail:
+        return f"WITH {', '.join(parts)} {tail}"
     return f"WITH {', '.join(parts)} SELECT CAST(i AS INTEGER) AS i, round(w, 6) + 0.0 AS value FROM w{rounds}"
 
 
@@ -191,6 +195,45 @@ def _federated(codec: str, weighted: bool) -> str:
     return f"WITH {', '.join(parts)} SELECT CAST(i // {D + 1} AS INTEGER) AS cluster, CAST(i % {D + 1} AS INTEGER) AS i, round(-({mean}), 6) + 0.0 AS value FROM h JOIN n USING (client) WHERE h.i < {10 * (D + 1)} GROUP BY h.i"
 
 
+def _training(rounds: int, codec: str, tail: str) -> str:
+    parts = [_VECTORS.format(n=10), f"b AS MATERIALIZED (SELECT vec_id, label, client, i, x FROM v UNION ALL SELECT DISTINCT vec_id, label, client, {D}, CAST(1 AS DOUBLE) FROM v)",
+             "n AS (SELECT client, count(DISTINCT vec_id) AS n FROM v GROUP BY client)", _SIGNS.format(n=10, d=1024),
+             f"w0 AS MATERIALIZED (SELECT c, i, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS vel FROM range(10) a(c), range({D + 1}) b(i))"]
+    for k in range(rounds):
+        parts += [f"z{k} AS (SELECT vec_id, c, sum(x * w) AS z FROM b JOIN w{k} USING (i) GROUP BY vec_id, c)", f"x{k} AS (SELECT vec_id, c, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z{k})",
+                  f"p{k} AS (SELECT vec_id, c, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM x{k})",
+                  f"g{k} AS (SELECT client, c * {D + 1} + i AS i, avg((p - CASE WHEN c = label THEN 1 ELSE 0 END) * x) AS x FROM b JOIN p{k} USING (vec_id) GROUP BY 1, 2)"]
+        if codec == "sign":
+            parts += [f"r{k} AS (SELECT client, i, x * s AS x FROM g{k} JOIN sg1024 USING (client, i))", _transform(f"y{k}", f"r{k}", "x", "client", 1024),
+                      f"m{k} AS (SELECT client, sum(y * y) / sum(abs(y)) AS scale FROM y{k} GROUP BY client)", f"q{k} AS (SELECT client, i, CASE WHEN y < 0 THEN -scale ELSE scale END AS q FROM y{k} JOIN m{k} USING (client))",
+                      _transform(f"t{k}", f"q{k}", "q", "client", 1024, False), f"h{k} AS (SELECT client, i, y * s AS x FROM t{k} JOIN sg1024 USING (client, i))"]
+        else:
+            parts.append(f"h{k} AS (SELECT * FROM g{k})")
+        parts += [f"d{k} AS (SELECT i // {D + 1} AS c, i % {D + 1} AS i, sum(n * x) / sum(n) AS g FROM h{k} JOIN n USING (client) WHERE h{k}.i < {10 * (D + 1)} GROUP BY h{k}.i)",
+                  f"u{k} AS (SELECT c, i, w, 0.9::DOUBLE * vel + g + 5e-4::DOUBLE * w AS vel FROM w{k} JOIN d{k} USING (c, i))", f"w{k + 1} AS MATERIALIZED (SELECT c, i, w - 0.1::DOUBLE * vel AS w, vel FROM u{k})"]
+    return f"WITH {', '.join(parts)} {tail}"
+
+
+def _accuracy(k: int) -> str:
+    return f"SELECT {k} AS round, round(100 * avg(CASE WHEN c = label THEN 1 ELSE 0 END), 6) + 0.0 AS accuracy FROM (SELECT vec_id, label, arg_max(c, (z, -c)) AS c FROM (SELECT vec_id, label, c, sum(x * w) AS z FROM b JOIN w{k + 1} USING (i) GROUP BY vec_id, label, c) GROUP BY vec_id, label)"
+
+
+_WEIGHTS = "SELECT CAST(c AS INTEGER) AS cluster, CAST(i AS INTEGER) AS i, round(w, 6) + 0.0 AS value FROM w3"
+_COIN = f"""WITH {_VECTORS.format(n=1)}, y AS (SELECT vec_id, client, i, round_even(x * 10, 0) / 10 AS y FROM v),
+b AS (SELECT vec_id, i, y, CASE WHEN y < 0 THEN 0 WHEN y > 0 THEN 1 WHEN {_u(1, "client || '.' || vec_id")} < 0.5 THEN 0 ELSE 1 END AS b FROM y)
+SELECT vec_id, round(CASE WHEN sum(y * (2 * b - 1)) = 0 THEN 0 ELSE sum(y * y) / sum(y * (2 * b - 1)) END, 4) + 0.0 AS scale, string_agg(CAST(b AS VARCHAR), '' ORDER BY i) AS bits FROM b GROUP BY vec_id"""
+_GATED = f"""WITH v AS (SELECT * FROM (SELECT vec_id, label, 0 AS client, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i < vec_id % 49 + 16),
+{_SIGNS.format(n=1, d=D)}, r AS (SELECT vec_id, label, client, i, x * s AS x FROM v JOIN sg{D} USING (client, i)), {_transform("y", "r", "x", "vec_id, label, client", D)}, {_SCALE}, {_SIGN_Q}, {_decoded()}
+SELECT v.vec_id, CAST(count(*) AS INTEGER) AS n, CASE WHEN count(*) <= 32 THEN 0 ELSE round({_NMSE.format(x='v.x', h='h.xh')}, 6) END + 0.0 AS nmse FROM v JOIN h ON h.vec_id = v.vec_id AND h.i = v.i GROUP BY v.vec_id"""
+
+
+def _fetch_variables() -> str:
+    """As _FETCH, with the spec's number of buckets (the smallest prime above a 32nd of the size), and hours as they are."""
+    prime = "(SELECT min(p) FROM range(1 + (SELECT (max(user_id) + 1) // 32 FROM events), 2 * (SELECT (max(user_id) + 1) // 32 FROM events) + 5) a(p) WHERE p > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 100000) b(q) WHERE q < p AND p % q = 0))"
+    body = _FETCH.replace("round(value, 6) AS value", "value").replace("% 97", "% (SELECT cols FROM cols)").replace("WITH g1", f"WITH cols AS MATERIALIZED (SELECT {prime} AS cols), g1", 1)
+    return f"SELECT 'user' AS variable, user_id AS key, value FROM ({body}) UNION ALL SELECT 'hour', hour(ts), round(sum(value), 4) + 0.0 FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY hour(ts)"
+
+
 def _synthetic(dist: str, d: int, trials: int, n: int = 1) -> str:
     """v: hash-random vectors, the same for each of n clients."""
     e = f"'{dist}-{d}-' || t"
@@ -278,7 +321,14 @@ ORACLE_SQL = {
     "terngrad_population_roundtrip": _ternary("2.5 * sp", "a"),
     "terngrad_layered_roundtrip": _LAYERED,
     "bitpack": f"WITH {_rotated()} SELECT vec_id, CAST(sum(CASE WHEN y < 0 OR i >= 32 THEN 0 ELSE CAST(1 AS BIGINT) << i END) AS BIGINT) AS low, CAST(sum(CASE WHEN y < 0 OR i < 32 THEN 0 ELSE CAST(1 AS BIGINT) << (i - 32) END) AS BIGINT) AS high, true AS round_trip FROM y GROUP BY vec_id",
-    "size_gated_encode": f"WITH {_rotated()}, {_SCALE}, {_SIGN_Q}, {_decoded()} SELECT vec_id, nmse FROM ({_COMPARE})",
+    "size_gated_encode": _GATED, "random_zero": _COIN, "fetchsgd_variables": _fetch_variables(),
+    # no rotated coordinate is 0 but those of a zero vector, whose scale is 0: the coin decides nothing there
+    "sign_coin_roundtrip": f"WITH {_rotated()}, {_SCALE}, {_SIGN_Q}, {_decoded()} {_COMPARE}",
+    "packed_kashin": f"WITH {_kashin()} {_COMPARE}", "packed_terngrad": _ternary("2.5 * sp", "a"),
+    "report_cells": "SELECT label, round(avg(s), 4) + 0.0 AS mean, round(stddev_samp(s), 4) + 0.0 AS std FROM (SELECT vec_id, label, round(sum(x * x), 6) AS s FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id, label) GROUP BY label",
+    "kmeans_objective": _kmeans(3, "identity", " UNION ALL ".join(f"SELECT {k} AS round, (SELECT round(sum(d), 4) + 0.0 FROM (SELECT min(dist) AS d FROM e{k} GROUP BY vec_id)) AS objective" for k in range(3))),
+    "power_trace": _power(3, "sign", 0.5, " UNION ALL ".join(f"SELECT {k} AS round, round(any_value(l), 4) + 0.0 AS value, round(sqrt(sum((l * w - u) * (l * w - u))), 4) + 0.0 AS error FROM (SELECT w, u, sum(w * u) OVER () AS l FROM w{k} JOIN u{k} USING (i))" for k in range(3))),
+    "training_3_rounds": _training(3, "identity", _WEIGHTS), "training_3_rounds_sign": _training(3, "sign", _WEIGHTS), "training_accuracy": _training(3, "identity", " UNION ALL ".join(_accuracy(k) for k in range(3))),
     "mean_estimate": f"WITH {_rotated(10)}, {_SCALE}, {_SIGN_Q}, {_decoded(10)} SELECT label, CAST(i AS INTEGER) AS i, round(avg(xh), 6) + 0.0 AS mean FROM h GROUP BY label, i",
     "mean_of_ten_clients": f"WITH v0 AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), v AS (SELECT v0.*, CAST(c AS INTEGER) AS client FROM v0, range(10) a(c)), {_SIGNS.format(n=10, d=D)}, r AS (SELECT vec_id, label, client, i, x * s AS x FROM v JOIN sg{D} USING (client, i)), {_transform('y', 'r', 'x', 'vec_id, label, client', D)}, {_SCALE}, {_SIGN_Q}, {_decoded(10)}, e AS (SELECT vec_id, label, i, avg(xh) AS xh FROM h GROUP BY vec_id, label, i), n AS (SELECT e.vec_id, e.label, {_NMSE.format(x='v0.x', h='e.xh')} AS nmse FROM e JOIN v0 ON v0.vec_id = e.vec_id AND v0.i = e.i GROUP BY e.vec_id, e.label) SELECT label, round(avg(nmse), 6) + 0.0 AS mean, round(stddev_samp(nmse), 6) + 0.0 AS std, count(*) AS trials FROM n GROUP BY label",
     "entropy_nmse": _grid(f", z AS (SELECT vec_id, bits, normalisation, {_NMSE.format(x='y', h='(low + span * level / (pow(2.0, bits) - 1))')} AS nmse FROM q GROUP BY vec_id, bits, normalisation) SELECT bits, normalisation, round(avg(nmse), 6) + 0.0 AS nmse FROM z GROUP BY bits, normalisation"),

@@ -131,8 +131,39 @@ def bitpack(spark, sf_dir):
 
 
 def size_gated(spark, sf_dir):
-    df = codecs.size_gated(tables.vectors(spark, sf_dir), "sign", D, threshold=32, row="vec_id")
-    return df.select("vec_id", _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"))
+    """Vectors of 16 to 64 coordinates (by vec_id); those of more than 32 are sent by the sign codec, the others as they are."""
+    v = tables.vectors(spark, sf_dir).withColumn("x", F.slice("x", F.lit(1), (F.pmod("vec_id", F.lit(49)) + 16).cast("int")))
+    df = codecs.size_gated(v, "sign", D, threshold=32, row="vec_id")
+    return df.select("vec_id", F.size("xhat").alias("n"), _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"))
+
+
+def random_zero(spark, sf_dir):
+    """Signs of the embeddings' coordinates rounded to tenths, of which many are 0 and fall by a coin, and their scale."""
+    v = tables.vectors(spark, sf_dir).withColumn("y", F.transform("x", lambda c: F.rint(c * 10) / 10))
+    v = v.withColumn("bits", quant.sign_bits_random_zero(F.col("y"), F.concat_ws(".", F.col("client").cast("string"), F.col("vec_id").cast("string"))))
+    return v.select("vec_id", _r(quant.unbiased_scale(F.col("y"), quant.signs_of(F.col("bits"))), 4).alias("scale"), _bits("bits"))
+
+
+def packed_kashin(spark, sf_dir):
+    """The Kashin codec with its bits packed on the way."""
+    p = vec.kashin_dim(D)
+    df = codecs.packed(codecs.kashin_encode(tables.vectors(spark, sf_dir), D, row="vec_id"), p)
+    back = codecs.kashin_decode(codecs.unpacked(df, p), D)
+    return back.select("vec_id", _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"), _r(vec.total(F.col("xhat")), 4).alias("total"))
+
+
+def packed_terngrad(spark, sf_dir):
+    """Clipped ternary values with magnitudes and signs packed on the way."""
+    df = codecs.packed_ternary(codecs.terngrad_encode(tables.vectors(spark, sf_dir), D, row="vec_id", variant="population"), D)
+    back = codecs.terngrad_decode(codecs.unpacked_ternary(df, D), D)
+    return back.select("vec_id", _r(estimate.nmse(F.col("x"), F.col("xhat"))).alias("nmse"), _r(vec.total(F.col("xhat")), 4).alias("total"))
+
+
+def report_cells(spark, sf_dir):
+    """Norms by label written as "mean, deviation" cells of a report and read back."""
+    norms = tables.vectors(spark, sf_dir).select("label", _r(vec.norm2_squared(F.col("x"))).alias("s"))
+    cells = norms.groupBy("label").agg(F.concat_ws(", ", F.round(F.avg("s"), 4).cast("string"), F.round(F.stddev_samp("s"), 4).cast("string")).alias("cell"))
+    return tables.parse_pairs(cells, "cell", ("mean", "std")).select("label", "mean", "std")
 
 
 def count_sketch(spark, sf_dir):
@@ -188,6 +219,47 @@ def _federated(codec: str, weighted: bool):
     return query
 
 
+def kmeans_objective(spark, sf_dir):
+    """Sum of squared distances to the centres before each of three rounds."""
+    _, history = workloads.kmeans(tables.vectors(spark, sf_dir, 10), 10, D, 3)
+    return spark.createDataFrame(list(enumerate(history)), "round int, objective double").select("round", _r("objective", 4).alias("objective"))
+
+
+def power_trace(spark, sf_dir):
+    """Eigenvalue and error of each of three rounds with sign messages and feedback."""
+    _, history = workloads.power_iteration(tables.vectors(spark, sf_dir, 10), D, 3, "sign", 0.5)
+    rows = [(k, value, error) for k, (value, error) in enumerate(history)]
+    return spark.createDataFrame(rows, "round int, value double, error double").select("round", _r("value", 4).alias("value"), _r("error", 4).alias("error"))
+
+
+def _training(codec: str):
+    """Three rounds of momentum steps by ten clients' gradients: the weights."""
+    def query(spark, sf_dir):
+        return _model(spark, workloads.training(tables.vectors(spark, sf_dir, 10), 10, D, 3, codec)[0])
+
+    return query
+
+
+def training_accuracy(spark, sf_dir):
+    """Accuracy after each of three rounds."""
+    _, history = workloads.training(tables.vectors(spark, sf_dir, 10), 10, D, 3)
+    return spark.createDataFrame(list(enumerate(history)), "round int, accuracy double").select("round", _r("accuracy").alias("accuracy"))
+
+
+def fetchsgd_variables(spark, sf_dir):
+    """Two steps over two variables, the gradients of each being the values of half a month: by user sketched as its size
+    asks, by hour of the day as it is. The second update."""
+    e = tables.table(spark, sf_dir, "events")
+    keys = {"user": F.col("user_id"), "hour": F.hour("ts").cast("long")}
+    size = {name: int(e.agg(F.coalesce(F.max(c) + 1, F.lit(0))).first()[0]) for name, c in keys.items()}
+    specs = {name: sketch.spec(n, k=10, size_threshold=24) for name, n in size.items()}
+    state, update = {}, None
+    for part in ("ts < TIMESTAMP_NTZ '2024-01-16'", "ts >= TIMESTAMP_NTZ '2024-01-16'"):
+        gradients = {name: e.where(part).select(c.alias("key"), "value") for name, c in keys.items()}
+        update, state = sketch.spec_step(specs, state, gradients)
+    return update.select("variable", "key", _r("value", 4).alias("value"))
+
+
 def sketch_mean(spark, sf_dir):
     """Mean of the users' values over days as clients, from one summed sketch; the 20 largest."""
     means = sketch.mean_of_sketches(tables.user_values(spark, sf_dir), "user_id", "value", "day", **SKETCH).withColumn("estimate", _r("estimate", 4))
@@ -265,7 +337,7 @@ def streaming_sketch(spark, sf_dir):
 QUERIES = {
     "sign_encode": sign_encode, "sign_nmse": sign_nmse, "two_means_encode": two_means_encode, "two_means_nmse": two_means_nmse, "two_means_converged": two_means_converged,
     "split_at_mean_encode": split_at_mean_encode,
-    **{f"{n}_roundtrip": _round_trip(n) for n in ("identity", "sign", "two_means", "split_at_mean", "hadamard_sq", "kashin_sq", "terngrad", "terngrad_clipped", "terngrad_population", "hadamard_4bit", "two_means_lloyd")},
+    **{f"{n}_roundtrip": _round_trip(n) for n in ("identity", "sign", "sign_coin", "two_means", "split_at_mean", "hadamard_sq", "kashin_sq", "terngrad", "terngrad_clipped", "terngrad_population", "hadamard_4bit", "two_means_lloyd")},
     "terngrad_layered_roundtrip": terngrad_layered, "urr_sign": _urr(False), "urr_two_means": _urr(True), "bitpack": bitpack, "size_gated_encode": size_gated,
     "mean_estimate": mean_estimate, "mean_of_ten_clients": mean_of_ten_clients,
     "entropy_nmse": entropy_nmse, "entropy_bits": entropy_bits, "huffman_bits": huffman_bits,
@@ -273,6 +345,8 @@ QUERIES = {
     "kmeans_round": _kmeans(1, "identity"), "kmeans_3_rounds": _kmeans(3, "identity"), "kmeans_round_sign": _kmeans(1, "sign"), "kmeans_round_two_means": _kmeans(1, "two_means"),
     "power_iteration_2": _power(2, "identity", 1.0), "power_iteration_feedback_2": _power(2, "sign", 0.5),
     "federated_round": _federated("identity", True), "federated_round_unweighted": _federated("identity", False), "federated_round_sign": _federated("sign", True),
-    "sketch_mean": sketch_mean, "packed_sign": packed_sign, "table_nmse": table_nmse, "accuracy_epochs": accuracy_epochs,
+    "kmeans_objective": kmeans_objective, "power_trace": power_trace, "training_3_rounds": _training("identity"), "training_3_rounds_sign": _training("sign"),
+    "training_accuracy": training_accuracy, "fetchsgd_variables": fetchsgd_variables, "random_zero": random_zero, "packed_kashin": packed_kashin,
+    "packed_terngrad": packed_terngrad, "report_cells": report_cells, "sketch_mean": sketch_mean, "packed_sign": packed_sign, "table_nmse": table_nmse, "accuracy_epochs": accuracy_epochs,
     "codec_report": codec_report, "figure_nmse": figure_nmse, "rolling_metric": rolling_metric,
 }
