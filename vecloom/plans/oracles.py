@@ -228,10 +228,12 @@ SELECT v.vec_id, CAST(count(*) AS INTEGER) AS n, CASE WHEN count(*) <= 32 THEN 0
 
 
 def _fetch_variables() -> str:
-    """As _FETCH, with the spec's number of buckets (the smallest prime above a 32nd of the size), and hours as they are."""
+    """As _FETCH, with the spec's number of buckets (the smallest prime above a 32nd of the size), and variables of up to 24 keys (hours) as they are."""
     prime = "(SELECT min(p) FROM range(1 + (SELECT (max(user_id) + 1) // 32 FROM events), 2 * (SELECT (max(user_id) + 1) // 32 FROM events) + 5) a(p) WHERE p > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 100000) b(q) WHERE q < p AND p % q = 0))"
     body = _FETCH.replace("round(value, 6) AS value", "value").replace("% 97", "% (SELECT cols FROM cols)").replace("WITH g1", f"WITH cols AS MATERIALIZED (SELECT {prime} AS cols), g1", 1)
-    return f"SELECT 'user' AS variable, user_id AS key, value FROM ({body}) UNION ALL SELECT 'hour', hour(ts), round(sum(value), 4) + 0.0 FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY hour(ts)"
+    plain = "SELECT '{name}' AS variable, {key} AS key, round(sum(value), 4) + 0.0 AS value FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY {key}"
+    small = "(SELECT max(user_id) + 1 <= 24 FROM events)"
+    return f"SELECT 'user' AS variable, user_id AS key, value FROM ({body}) WHERE NOT {small} UNION ALL SELECT * FROM ({plain.format(name='user', key='user_id')}) WHERE {small} UNION ALL {plain.format(name='hour', key='hour(ts)')}"
 
 
 def _synthetic(dist: str, d: int, trials: int, n: int = 1) -> str:
