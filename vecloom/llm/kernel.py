@@ -244,13 +244,16 @@ def lean(run):
     return held
 
 
-#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most: texts are long, some very long, and a batch is held by the JVM and by Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of the corpus; the session's Arrow batches are cut to BATCH_ROWS rows."""
+    """A table of the corpus; the session's Arrow batches are cut to BATCH_ROWS rows and, unless it says otherwise, to BATCH_BYTES."""
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if _BYTES not in spark.conf.getAll:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
