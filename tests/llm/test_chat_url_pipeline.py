@@ -62,6 +62,26 @@ def test_chats_read_back(spark):
     assert made.where("false").count() == chat_format.read_back(chat_format.format_chats(df.where("false"))).count() == 0
 
 
+def test_every_reply_is_an_example_with_its_context(spark, monkeypatch):
+    rows = [(1, 0, "assistant", "é<|"), (1, 1, "user", "😀 first"), (1, 2, "assistant", "日本\\"), (1, 3, "assistant", None), (1, 4, "user", "rest first"), (2, 0, "user", "first, no reply"), (None, 0, "assistant", "é lost"), (None, 1, "user", "first")]
+    made = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    escaped = lambda x: (x or "").replace("\\", "\\\\").replace("<|", "<\\|")
+    want, so_far = [], {}
+    for c, t, r, x in rows:
+        before = so_far.get(c, "") if c is not None else ""
+        context = f"{before}<|turn|>{r}<|text|>"
+        if r == "assistant":
+            want.append((c, t, len(context), context, escaped(x)))
+        so_far[c] = context + escaped(x) + "<|end|>"
+    found = chat_format.examples(made).collect()
+    assert sorted(((e.conv_id, e.position, e.context_end, e.context, e.target) for e in found), key=str) == sorted(want, key=str)
+    # what the query reads comes from these examples
+    exploded = chat_format._exploded
+    monkeypatch.setattr(chat_format, "_exploded", lambda whole, conv_id: exploded(whole, conv_id).withColumn("context", F.replace("context", F.lit("first"), F.lit("other"))))
+    read = {(r.conv_id, t.text) for r in chat_format.read_back(made).collect() for t in r.turns}
+    assert {(1, "😀 other"), (1, "rest other"), (2, "other, no reply"), (None, "other"), (1, "日本\\"), (None, "é lost")} <= read and not any("first" in t for _, t in read)
+
+
 def test_a_conversation_of_many_turns(spark):
     n = 100_000
     df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))

@@ -4,9 +4,11 @@ Template, per turn: ``<|turn|>`` role ``<|text|>`` text ``<|end|>``. Inside role
 ``<\|``, so no text can hold a control string, and undoing the escapes gives the text back.
 
 ``format_chats`` writes every turn once, as a piece of its conversation's text, with its place in that text by a running sum of
-lengths. ``examples`` explodes every assistant turn into an example of its own: its context is all that precedes the reply, given by
-where it ends, its target is the reply, and only the target is trainable. Examples share the pieces instead of repeating them, since
-written-out prefixes grow with the square of a conversation's length; ``with_context`` writes them out for those who want them.
+lengths. ``examples`` explodes every assistant turn into an example of its own: its context is the text of all that precedes the reply,
+its target is the reply, and only the target is trainable. ``read_back`` puts conversations together again from these examples.
+
+Contexts are prefixes of one text, so all of them have as many characters as the square of a conversation's length. They are cut by bytes
+(no walk over characters), one row at a time where the conversation already is: no exchange, sort or spill holds them.
 """
 
 from __future__ import annotations
@@ -28,51 +30,75 @@ def unescape(c: Column) -> Column:
 
 
 def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", target: str = "assistant") -> DataFrame:
-    """One row per turn: (conv_id, alone, position from 0, begin, target_start, target_end, trainable, piece).
+    """One row per turn: (conv_id, alone, position from 0, begin, target_start, target_end, trainable, last, since, octets, piece).
 
     ``begin`` is where the piece starts in the conversation's text, the target span is that of the turn's text in it; code points from
-    0, ends exclusive. Turns are in the order of ``turn`` (null first), ties by role, then text; repeated rows stay. Null roles and
-    texts are empty. A row without conv_id belongs to no known conversation and is one by itself (``alone``). Other columns are not read.
+    0, ends exclusive. In bytes, ``octets`` is where the piece starts and ``since`` where the last assistant turn before it ends (0: none).
+    Turns are in the order of ``turn`` (null first), ties by role, then text; repeated rows stay. Null roles and texts are empty. A row
+    without conv_id belongs to no known conversation and is one by itself (``alone``). Other columns are not read.
     """
     rows = df.select(F.col(conv_id).alias(conv_id), F.col(turn).alias("t"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("x"))
-    rows = rows.withColumn("head", F.concat(F.lit(TURN), escape(F.col("r")), F.lit(TEXT))).withColumn("body", F.concat(escape(F.col("x")), F.lit(END)))
-    rows = rows.withColumn("size", F.length("head").cast("long") + F.length("body"))
+    head, body = F.concat(F.lit(TURN), escape(F.col("r")), F.lit(TEXT)), F.concat(escape(F.col("x")), F.lit(END))
+    piece, trainable = F.concat(head, body), F.col("r") == target
     order = Window.partitionBy(conv_id).orderBy(F.asc_nulls_first("t"), "r", "x")
-    known = rows.where(F.col(conv_id).isNotNull()).select("*", (F.row_number().over(order) - 1).alias("position"), (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("begin"), F.lit(False).alias("alone"))
-    lost = rows.where(F.col(conv_id).isNull()).select("*", F.lit(0).alias("position"), F.lit(0).cast("long").alias("begin"), F.lit(True).alias("alone"))
-    start = F.col("begin") + F.length("head")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda size: F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0))
+    known = rows.where(F.col(conv_id).isNotNull()).withColumns({
+        "position": F.row_number().over(order) - 1, "begin": total(F.length(piece)), "octets": total(F.octet_length(piece)), "last": F.lead(F.lit(1)).over(order).isNull(), "alone": F.lit(False)})
+    known = known.withColumn("since", F.coalesce(F.max(F.when(trainable, F.col("octets") + F.octet_length(piece))).over(before), F.lit(0)))
+    zero = F.lit(0).cast("long")
+    lost = rows.where(F.col(conv_id).isNull()).withColumns({"position": F.lit(0), "begin": zero, "octets": zero, "last": F.lit(True), "alone": F.lit(True), "since": zero})
+    start = F.col("begin") + F.length(head)
+    # pieces are made here, so that the exchange carries each text once
     return known.unionByName(lost).select(
-        conv_id, "alone", "position", "begin", start.alias("target_start"), (start + F.length("body") - len(END)).alias("target_end"), (F.col("r") == target).alias("trainable"), F.concat("head", "body").alias("piece"))
+        conv_id, "alone", "position", "begin", start.alias("target_start"), (start + F.length(body) - len(END)).alias("target_end"), trainable.alias("trainable"), "last", "since", "octets", piece.alias("piece"))
+
+
+def _replies() -> Column:
+    """What is exploded into an example: an assistant turn's place, in bytes where its context and its target end; null for other turns.
+    A last turn that isn't a reply has a place too, so that what follows the last reply isn't lost: its context is all, without target."""
+    head = F.octet_length(F.substring("piece", F.lit(1), (F.col("target_start") - F.col("begin")).cast("int")))
+    end = F.col("octets") + F.octet_length("piece")
+    place = F.struct("position", "trainable", "since", F.when(F.col("trainable"), F.col("octets") + head).otherwise(end).cast("int").alias("context_octets"), (end - len(END)).cast("int").alias("target_octets"), "target_start", "target_end")
+    return F.when(F.col("trainable") | F.col("last"), place)
+
+
+def _whole(turns: DataFrame, conv_id: str) -> tuple[DataFrame, DataFrame]:
+    """One row per conversation, of those with a conv_id and of those without: (conv_id, formatted, replies)."""
+    listed = lambda c: F.array_sort(F.collect_list(c))
+    known = turns.where("NOT alone").groupBy(conv_id).agg(listed(F.struct("position", "piece")).alias("p"), listed(_replies()).alias("replies"))
+    known = known.select(conv_id, F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("formatted"), "replies")
+    return known, turns.where("alone").select(conv_id, F.col("piece").alias("formatted"), F.array(_replies()).alias("replies"))
 
 
-def _target() -> Column:
-    """What a turn's target span holds."""
-    return F.substring("piece", (F.col("target_start") - F.col("begin") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int"))
+def _exploded(whole: DataFrame, conv_id: str) -> DataFrame:
+    """A row per reply, with its context written out, and one for the turns after the last reply, whose target is null."""
+    rows = whole.select(conv_id, F.col("formatted").cast("binary").alias("b"), F.inline_outer("replies"))
+    target = F.substring("b", F.col("context_octets") + 1, F.col("target_octets") - F.col("context_octets"))
+    return rows.select(
+        conv_id, "position", "trainable", "since", "target_start", "target_end",
+        F.substring("b", F.lit(1), F.col("context_octets")).cast("string").alias("context"), F.when(F.col("trainable"), target.cast("string")).alias("target"))
 
 
 def examples(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """One row per assistant turn: (conv_id, alone, position, context_end, target_start, target_end, target), the target still escaped.
+    """One row per assistant turn: (conv_id, alone, position, context_end, target_start, target_end, context, target), texts still escaped.
 
     The context is all of the conversation's text up to ``context_end``, the head of the reply's own turn included.
     """
-    return turns.where("trainable").select(conv_id, "alone", "position", F.col("target_start").alias("context_end"), "target_start", "target_end", _target().alias("target"))
+    known, alone = (_exploded(whole, conv_id).where("trainable") for whole in _whole(turns, conv_id))
+    found = known.withColumn("alone", F.lit(False)).unionByName(alone.withColumn("alone", F.lit(True)))
+    return found.select(conv_id, "alone", "position", F.col("target_start").alias("context_end"), "target_start", "target_end", "context", "target")
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """One row per conversation: (conv_id, formatted), the pieces one after the other; a conversation has to fit a row."""
-    whole = turns.where("NOT alone").groupBy(conv_id).agg(F.array_sort(F.collect_list(F.struct("position", "piece"))).alias("p"))
-    whole = whole.select(conv_id, F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("formatted"))
-    return whole.unionByName(turns.where("alone").select(conv_id, F.col("piece").alias("formatted")))
+    known, alone = _whole(turns, conv_id)
+    return known.unionByName(alone).select(conv_id, "formatted")
 
 
 def with_context(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """(conv_id, position, context, target), still escaped, with the contexts written out: the prefixes of one text, so as many
-    characters as the square of a conversation's length."""
-    known = turns.where("NOT alone")
-    found = examples(known, conv_id).join(conversations(known, conv_id), conv_id)
-    found = found.select(conv_id, "position", F.substring("formatted", F.lit(1), F.col("context_end").cast("int")).alias("context"), "target")
-    alone = turns.where("alone AND trainable").select(conv_id, "position", F.substring("piece", F.lit(1), F.col("target_start").cast("int")).alias("context"), _target().alias("target"))
-    return found.unionByName(alone)
+    """(conv_id, position, context, target), still escaped."""
+    return examples(turns, conv_id).select(conv_id, "position", "context", "target")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -84,15 +110,17 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_back(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """(conv_id, formatted, turns array of (role, text), targets array of string), one row per conversation: the turns from the
-    formatted text, the targets from the examples. Examples meet their conversation where both already are, without an exchange."""
-    none = F.array().cast("array<string>")
-    known = turns.where("NOT alone")
-    own = examples(known, conv_id).groupBy(conv_id).agg(F.array_sort(F.collect_list(F.struct("position", "target"))).alias("e"))
-    own = own.select(conv_id, F.transform("e", lambda e: unescape(e["target"])).alias("targets"))
-    whole = conversations(known, conv_id).join(own, conv_id, "left").select(conv_id, "formatted", F.coalesce("targets", none).alias("targets"))
-    alone = turns.where("alone").select(conv_id, F.col("piece").alias("formatted"), F.when(F.col("trainable"), F.array(unescape(_target()))).otherwise(none).alias("targets"))
-    return whole.unionByName(alone).select(conv_id, "formatted", read_turns(F.col("formatted")).alias("turns"), "targets")
+    """(conv_id, formatted, turns array of (role, text), targets array of string), one row per conversation, all from its exploded rows:
+    each gives what its context has beyond the example before it, and its target. They meet where they were exploded, without an exchange."""
+    known, alone = (_exploded(whole, conv_id) for whole in _whole(turns, conv_id))
+    own = F.substring(F.col("context").cast("binary"), (F.col("since") + 1).cast("int"), F.octet_length("context")).cast("string")
+    own = F.concat(own, F.when(F.col("trainable"), F.concat("target", F.lit(END))).otherwise(""))
+    known = known.select(conv_id, "position", own.alias("own"), "target").groupBy(conv_id).agg(F.array_sort(F.collect_list(F.struct("position", "own", "target"))).alias("e"))
+    alone = alone.select(conv_id, F.array(F.struct("position", own.alias("own"), "target")).alias("e"))
+    found = known.unionByName(alone).select(
+        conv_id, F.array_join(F.transform("e", lambda e: e["own"]), "").alias("formatted"),
+        F.transform(F.filter("e", lambda e: e["target"].isNotNull()), lambda e: unescape(e["target"])).alias("targets"))
+    return found.select(conv_id, "formatted", read_turns(F.col("formatted")).alias("turns"), "targets")
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
